@@ -21,7 +21,7 @@ SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
 
 def escaped(c: F.Column) -> F.Column:
     r"""Puts a backslash before the bar of every '<', backslashes, '|': no text has '<|' left."""
-    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescaped(text: str) -> str:
@@ -39,7 +39,7 @@ def segments(conversations: DataFrame) -> DataFrame:
     role and text are empty. In a role, backslash and line feed are written with a backslash.
     """
     role = F.coalesce("role", F.lit(""))
-    line = escaped(F.regexp_replace(F.regexp_replace(role, r"\\", r"\\\\\\\\"), "\n", r"\\\\n"))
+    line = escaped(F.regexp_replace(F.regexp_replace(role, r"\\", r"\\\\"), "\n", r"\\n"))
     text = escaped(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(START), line, F.lit("\n"))
     return conversations.select(

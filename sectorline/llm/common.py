@@ -33,7 +33,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(a, b) long pairs -> (node, root): each node that has a link and the smallest node it reaches.
+    """(a, b) long pairs -> (node, root): each node that reaches a smaller one, and the smallest that it reaches.
 
     Alternates the two star operations of Kiveris et al., "Connected Components in MapReduce and
     Beyond"; every round is written to the shared folder. Rounds grow with the logarithm of the longest path.
