@@ -27,7 +27,7 @@ def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(geo.midpoint(F.lit(LINE[0]), F.col("lat")), 9).alias("mid_lat"),
         geo.within_box(*line, *p).alias("in_box"),
         F.round(geo.projection_factor(*line, *p), 9).alias("projection"),
-        F.round(geo.signed_area(*line, *p) * 1e6, 6).alias("area"),
+        (F.round(geo.signed_area(*line, *p) * 1e6, 6) + F.lit(0.0)).alias("area"),
         F.round(geo.distance(F.lit(48.0), F.lit(2.0), *p), 4).alias("km"),
         F.round(geo.distance(F.lit(48.0), F.lit(2.0), *p, "N"), 4).alias("nautical"),
         F.round(geo.center_factor(F.lit(48.0), F.lit(2.0), F.lit(52.0), F.lit(9.0), *p), 4).alias("center"),
@@ -157,7 +157,7 @@ FROM te JOIN fx ON te.device_id = fx.device_id AND epoch_us(fx.ts) > epoch_us(te
         "geometry": f"""WITH {adapters.FIXES_SQL} SELECT arrival_ord, round(({a1} + lat) / 2, 9) AS mid_lat,
   lat BETWEEN {a1} AND {a2} AND lon BETWEEN {o1} AND {o2} AS in_box,
   round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((lat - {a1}) * {dx} + (lon - {o1}) * {dy}) / ({dx} * {dx} + {dy} * {dy}))), 9) AS projection,
-  round(({dx} * (lon - {o1}) - {dy} * (lat - {a1})) * 1000000.0::DOUBLE, 6) AS area, round({ends[0]}, 4) AS km,
+  round(({dx} * (lon - {o1}) - {dy} * (lat - {a1})) * 1000000.0::DOUBLE, 6) + 0.0::DOUBLE AS area, round({ends[0]}, 4) AS km,
   round({ends[0]} / 1.609344 * 0.8684, 4) AS nautical, round(1 - abs({ends[0]} - {ends[1]}) / ({ends[0]} + {ends[1]}), 4) AS center FROM fx""",
         "circuit_index": f"WITH {adapters.CIRCUITS_SQL} SELECT lower(code) AS code_key, name, ord FROM circuits QUALIFY row_number() OVER (PARTITION BY lower(code) ORDER BY ord DESC) = 1",
         "circuit_detect": f"""WITH {adapters.FIXES_SQL}, {adapters.CIRCUITS_SQL} SELECT arrival_ord, code AS circuit_code FROM fx LEFT JOIN circuits ON
