@@ -1,13 +1,14 @@
 """WARC archives with a two-level capture index.
 
-Archives are plain WARC 1.1 files in the shared folder, written by Spark's text writer, so that any store
-will do. The index has compressed blocks of captures sorted by reversed-host URL key, and a sparse directory
+Archives are WARC 1.1 files in the shared folder, a gzip member for each record, written by Spark's text
+writer, so that any store will do and lost tasks leave nothing. The index has compressed blocks of captures sorted by reversed-host URL key, and a sparse directory
 with the first key of each block; a look-up bisects the directory, then the block, then reads one range.
 """
 
 from __future__ import annotations
 
 import bisect
+import gzip
 import hashlib
 import json
 import zlib
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 32
+LEVEL = 4
+GZIP = zlib.MAX_WBITS | 16
 CAPTURE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -42,7 +46,7 @@ def url_key(url: str | None) -> str:
 
 
 def _records(pages: DataFrame) -> DataFrame:
-    """A string for each page: its record without the last line feed, which the writer adds."""
+    """The record of each page, as a string `value`."""
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("url"),
@@ -80,7 +84,21 @@ def _records(pages: DataFrame) -> DataFrame:
         F.octet_length(block).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    return p.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
+    return p.select(F.concat(head, block, F.lit("\r\n\r\n")).alias("value"))
+
+
+def member(record: bytes) -> bytes:
+    """A record as gzip whose last byte is zero, as that of a length under 16 MiB is; longer ones get an empty member."""
+    out = gzip.compress(record, LEVEL, mtime=0)
+    return out if out[-1] == 0 else out + gzip.compress(b"", LEVEL, mtime=0)
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The writer's separator gives the last zero of each member back.
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            out = [member(x.as_buffer().to_pybytes())[:-1] for x in b.column(0).slice(i, 256)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -93,7 +111,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """
     (
         _records(pages)
-        .write.option("lineSep", "\n")
+        .select(F.col("value").cast("binary").alias("value"))
+        .mapInArrow(_compressed, "value binary")
+        .select(F.col("value").cast("string").alias("value"))
+        .write.option("lineSep", "\0")
         .option("maxRecordsPerFile", RECORDS)
         .option("compression", "none")
         .text(path)
@@ -105,19 +126,31 @@ def _header(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+def _members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, plain bytes) of each gzip member."""
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        z, plain, end = zlib.decompressobj(GZIP), [], at
+        while not z.eof:
+            if end >= len(view):
+                raise ValueError("archive ends within a record")
+            plain.append(z.decompress(view[end : end + (1 << 14)]))
+            end += len(view[end : end + (1 << 14)])
+        end -= len(z.unused_data)
+        yield at, end - at, b"".join(plain)
+        at = end
+
+
 def scan(content: bytes) -> Iterator[tuple[int, int, dict[str, str]]]:
     """(offset, length, header) of each record of an archive."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        header = _header(content[at:end])
-        length = end + 4 - at + int(header["content-length"]) + 4
-        yield at, length, header
-        at += length
+    for at, n, plain in _members(content):
+        if plain:
+            yield at, n, _header(plain[: plain.index(b"\r\n\r\n")])
 
 
 def parse(record: bytes) -> tuple:
-    """The fields of CAPTURE from the bytes of a record."""
+    """The fields of CAPTURE from the gzip member of a record."""
+    record = zlib.decompressobj(GZIP).decompress(record)
     end = record.index(b"\r\n\r\n")
     header = _header(record[:end])
     body = record[end + 4 : end + 4 + int(header["content-length"])]

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -117,6 +118,15 @@ def test_warc_round_trip_and_lookup(spark):
     assert sorted(r[0] for r in warc.lookup(spark, f"{path}/i", "http://a.example/x")) == [1, 4]
 
 
+def test_warc_members():
+    first, empty = warc.member(b"WARC/1.1\r\nA: b\r\n\r\n"), gzip.compress(b"", mtime=0)
+    assert first[-1] == 0 and gzip.decompress(first).startswith(b"WARC/1.1")
+    content = first + empty + first  # a long record is followed by an empty member
+    assert [(at, n) for at, n, _ in warc.scan(content)] == [(0, len(first)), (len(first) + len(empty), len(first))]
+    with pytest.raises(ValueError):
+        list(warc.scan(content[:-3]))
+
+
 def test_chat_round_trip(spark):
     says = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", says), (1, 1, "assistant", "<\\|x|> é\n"), (1, 2, "a\\\nb", None), (1, 3, "assistant", says), (2, 0, None, "")]
