@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 LEAST = 1000
 BLOCK_LINES = 500
+#: Index blocks of a task that reads captures, until there are MOST_TASKS tasks.
+TASK_BLOCKS, MOST_TASKS = 20, 20_000
 #: Records of an archive file.
 RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -230,7 +232,10 @@ def read_captures(spark: SparkSession, index: str) -> DataFrame:
                     yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
     blocks = spark.read.schema("block_id long, data binary").parquet(f"{index}/blocks")
-    return blocks.repartition(F.col("block_id")).mapInPandas(run, CAPTURE)
+    # Blocks are small but stand for much more: a number of tasks that Spark does not merge by size.
+    count = spark.read.parquet(f"{index}/directory").count()
+    tasks = min(-(-count // TASK_BLOCKS), MOST_TASKS)
+    return blocks.repartition(max(1, tasks), "block_id").mapInPandas(run, CAPTURE)
 
 
 def lookup(spark: SparkSession, index: str, url: str) -> list[tuple]:
