@@ -5,7 +5,7 @@ Feistel network over the letters and digits in which each character moves within
 consonants, digits, by script; case is put back). One-to-one by construction, so that equal entities stay
 equal and distinct ones distinct, however they are punctuated; `collisions` checks that over the whole table
 and `replaced` refuses a table that fails. Kept: country codes of phones and IBANs, the last part of a mail
-domain, titles of persons (with them gender), prefixes of keys, whether a card passes the Luhn test.
+domain, titles of persons (with them gender), prefixes of keys, the names that secrets are assigned to, whether a card passes the Luhn test.
 """
 
 from __future__ import annotations
@@ -15,11 +15,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# An assignment to a secret's name, up to its value; values with a vendor's prefix are keys.
+_ASSIGNED = r"(?i:token|key|secret|password|passwd)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+_VENDOR = r"(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|glpat-)"
 # Patterns of entities, in the order they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:gh[pousr]_|sk[-_](?:live_|test_)?|xox[abp]-|glpat-)[A-Za-z0-9_-]{16,}",
+    "hex": rf"{_ASSIGNED}(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{{16,}}(?![A-Za-z0-9+/_=-])",
+    "secret": rf"{_ASSIGNED}(?!{_VENDOR})(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -30,6 +35,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Characters that replace each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+HEX = "abcdef"
 # Given names by gender of the title, which replace each other.
 GIVEN = {
     "Mr|Herr|Monsieur|Señor": ["james", "john", "robert", "michael", "william", "david", "thomas", "paul", "peter", "hans", "jean", "carlos"],
@@ -37,7 +43,7 @@ GIVEN = {
 }
 KEPT = {
     "key": r"^(?:AKIA|ASIA|gh[pousr]_|sk[-_](?:live_|test_)?|xox[abp]-|glpat-)",
-    "iban": r"^[A-Z]{2}", "phone": r"^\+[0-9]{1,3}(?=[ .(-])", "name": r"^\p{L}+\.? ",
+    "hex": rf"^{_ASSIGNED}", "secret": rf"^{_ASSIGNED}", "iban": r"^[A-Z]{2}", "phone": r"^\+[0-9]{1,3}(?=[ .(-])", "name": r"^\p{L}+\.? ",
 }
 PLAIN = r"[^\p{L}\p{N}]"
 
@@ -61,7 +67,9 @@ def _moved(half: Column, other: Column, secret: Column, turn: Column) -> Column:
         out = c
         for a in ALPHABETS:
             out = F.when(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), (F.instr(F.lit(a), c) - 1 + by) % len(a) + 1, F.lit(1))).otherwise(out)
-        return out
+        # Hex values stay hex: their letters move among the first six.
+        hexed = F.substring(F.lit(HEX), (F.instr(F.lit(HEX), c) - 1 + by) % len(HEX) + 1, F.lit(1))
+        return F.when(F.endswith(secret, F.lit("|hex")) & (F.instr(F.lit(HEX), c) > 0), hexed).otherwise(out)
 
     return _let(key, lambda d: F.array_join(F.transform(F.split(half, ""), lambda c, i: char(d, c, i)), ""))
 
@@ -150,7 +158,7 @@ def _surrogate(v: Column, kind: Column, key: str) -> Column:
     secret = F.concat(F.lit(f"{key}|"), kind)
     tail = F.when(kind == "email", F.regexp_extract(v, r"(\.[A-Za-z]+)$", 1)).otherwise("")
     head = F.lit("")
-    for k in ("key", "iban", "phone", "name"):
+    for k in KEPT:
         head = F.when(kind == k, F.regexp_extract(v, f"({KEPT[k]})", 1)).otherwise(head)
 
     def parts(p: Column) -> Column:
