@@ -9,11 +9,12 @@ gradients, and a round only has to sum one number per domain.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
@@ -22,6 +23,8 @@ from .packing import words
 
 #: Labelled rows that the classifier is fitted on, at most; rounds, and the relative error that ends them.
 SAMPLE, ROUNDS, ERROR = 2000, 25, 1e-4
+#: Rows that each domain is fitted on, as far as it has them.
+LEAST = 20
 
 
 def pairs(text: str | None) -> np.ndarray:
@@ -30,17 +33,29 @@ def pairs(text: str | None) -> np.ndarray:
 
 
 def classifier(docs: DataFrame, labels: DataFrame, domain: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(domains, log odds of each byte pair by domain) from at most `sample` labelled rows, chosen by a hash."""
+    """(domains, log odds of each byte pair by domain): all domains of docs, fitted on labelled rows.
+
+    At most `sample` labelled rows are chosen by a hash. Of a domain with fewer than LEAST rows among them, LEAST
+    rows of its own are taken besides, labelled ones first; without labelled rows there is the one domain "all".
+    """
+    rows = docs.filter(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), "text")
     known = labels.select("doc_id").filter("doc_id is not null").distinct()
-    known = docs.filter(F.col(domain).isNotNull()).select("doc_id").join(known, "doc_id", "left_semi").distinct()
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    named = rows.select("doc_id", "domain").join(known, "doc_id", "left_semi").select("doc_id").distinct()
+    ids = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` ids go to all executors.
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col(domain).cast("string"), "text").collect()
-    domains = sorted({r[0] for r in rows if r[0] is not None}) or ["all"]
+    found = [tuple(r) for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").select("domain", "text").collect()]
+    domains = sorted(r[0] for r in rows.select("domain").distinct().collect()) if found else ["all"]
+    have = Counter(d for d, _ in found)
+    rare = [d for d in domains if have[d] < LEAST] if found else []
+    if rare:
+        found = [x for x in found if x[0] not in rare]
+        mine = rows.filter(F.col("domain").isin(rare)).join(known.withColumn("labelled", F.lit(1)), "doc_id", "left")
+        w = Window.partitionBy("domain").orderBy(F.desc_nulls_last("labelled"), F.xxhash64("doc_id"), "doc_id")
+        mine = mine.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= LEAST)
+        found += [tuple(r) for r in mine.select("domain", "text").collect()]
     counts = np.full((len(domains), 65536), 0.1)
-    for d, text in rows:
-        if d is not None:
-            counts[domains.index(d)] += np.bincount(pairs(text), minlength=65536)
+    for d, text in found:
+        counts[domains.index(d)] += np.bincount(pairs(text), minlength=65536)
     return domains, np.log(counts / counts.sum(axis=1, keepdims=True)).T
 
 
