@@ -2,23 +2,32 @@
 
 On a bounded sample: the graph of nearest neighbours is cut by recursive spectral bisection into parts of
 equal size, and a two-layer network learns which parts hold a vector's neighbours. Every row of the table is
-filed under its most probable part; a query visits its most probable parts and is scored exactly there.
+filed under its most probable part; a query visits its most probable parts and is scored exactly there. The
+number of parts grows with the table: up to WIDTH parts on one level, and beyond that each part is cut again
+by a model of its own, fitted on a bounded sample of that part by one task.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_vectors, saved
+from .common import by_length, clean_vectors, saved
 
-#: Rows of a part that one task scores at once; larger parts are cut into several blocks.
+#: Rows or queries of a part that one task scores at once; larger parts are cut into several blocks.
 BLOCK_ROWS = 4096
+#: Rows of a part, on average, and parts of a level at most.
+PART_ROWS, WIDTH = 512, 256
+#: Every so many rows of a sample are kept out of the fit and choose the number of parts to visit.
+KEPT_OUT = 5
+OUT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -72,8 +81,12 @@ def balanced_parts(near: np.ndarray, parts: int, rng: np.random.Generator) -> np
 
 
 def fit(x: np.ndarray, parts: int, k: int, target: float, seed: int = 7, steps: int = 600) -> Router:
-    """x: distinct sample vectors. Probes: the fewest that reach `target` recall on the sample."""
+    """x: distinct sample vectors. Probes: the fewest whose parts hold `target` of the k nearest sample
+    rows of those sample rows that the model was not fitted on."""
     rng = np.random.default_rng(seed)
+    every = x
+    out = rng.permutation(len(x))[: len(x) // KEPT_OUT]
+    x = np.delete(x, out, axis=0)
     mean, scale = x.mean(axis=0), float(x.std()) or 1.0
     near = neighbours(x, k)
     label = balanced_parts(near, parts, rng)
@@ -100,9 +113,9 @@ def fit(x: np.ndarray, parts: int, k: int, target: float, seed: int = 7, steps:
             v[a] = 0.999 * v[a] + 0.001 * d * d
             p[a] = p[a] - 0.01 * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-8)
     router = Router(*p, mean, scale, parts, 1.0)
-    order = router.order(x)
-    place = np.argsort(order, axis=1)  # of each part in a row's order
-    held = order[:, 0][near]
+    order = router.order(every)
+    held = order[:, 0][neighbours(every, k)[out]]
+    place = np.argsort(order[out], axis=1)  # of each part in a row's order
     rank = np.take_along_axis(place, held, axis=1)
     for probes in range(1, parts + 1):
         recall = float((rank < probes).mean())
@@ -111,95 +124,150 @@ def fit(x: np.ndarray, parts: int, k: int, target: float, seed: int = 7, steps:
     return Router(*p, mean, scale, probes, recall)
 
 
+def single(d: int) -> Router:
+    """A router with one part."""
+    return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), np.zeros(d), 1.0, 1, 1.0)
+
+
+def fitted(rows: np.ndarray, n: int, k: int, target: float) -> Router:
+    """The router of a part with n rows, of which `rows` are a sample: parts of PART_ROWS rows, as far as the sample tells them apart."""
+    x = np.unique(rows, axis=0)
+    parts = min(-(-n // PART_ROWS), len(x) // (2 * k), WIDTH)
+    return fit(x, 1 << (parts.bit_length() - 1), k, target) if parts > 1 else single(x.shape[1])
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A router, and one for each of its parts that is cut again."""
+
+    top: Router
+    below: dict[int, Router]
+
+    def visits(self, x: np.ndarray, all_parts: bool = False) -> list[list[int]]:
+        """The parts that each row of x visits, most probable first; the first one is where it is filed."""
+        order = self.top.order(x)
+        order = order if all_parts else order[:, : self.top.probes]
+        inner: dict[int, np.ndarray] = {p: r.order(x) for p, r in self.below.items() if (order == p).any()}
+        out = []
+        for i, row in enumerate(order):
+            mine = []
+            for p in row.tolist():
+                r = self.below.get(p)
+                some = [0] if r is None else inner[p][i][: None if all_parts else r.probes].tolist()
+                mine += [p * WIDTH + s for s in some]
+            out.append(mine)
+        return out
+
+
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products, summed component by component so that equal vectors score equally everywhere."""
     return np.cumsum(c * q, axis=1)[:, -1]
 
 
-def search(
-    embeddings: DataFrame,
-    every: int = 20,
-    k: int = 20,
-    parts: int = 16,
-    sample: int = 4096,
-    target: float = 0.97,
-) -> DataFrame:
+def grow(vectors: DataFrame, k: int, sample: int, target: float) -> Tree:
+    """The model of a table of vectors of one length, saved; at most `sample` rows of each level-1 part reach its fit."""
+    spark = vectors.sparkSession
+    n = vectors.count()
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    top = fitted(np.array([r["v"] for r in rows]), n, k, target)
+    if n <= WIDTH * PART_ROWS:
+        return Tree(top, {})
+    held = spark.sparkContext.broadcast(top)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(part=held.value.order(np.stack(b["v"].to_numpy()))[:, 0].astype(np.int32))
+
+    filed = saved(vectors.mapInPandas(first, "vec_id long, v array<double>, part int"), "first-level")
+    sizes = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}  # WIDTH rows at most
+    w = Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id")
+    some = filed.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= sample)
+
+    def second(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        router = fitted(np.stack(group["v"].to_numpy()), sizes[int(key[0])], k, target)
+        return pd.DataFrame({"part": [key[0]], "router": [pickle.dumps(router)]})
+
+    # A router takes some 200 KB, and there are WIDTH of them at most.
+    found = some.groupBy("part").applyInPandas(second, "part int, router binary").collect()
+    return Tree(top, {r["part"]: pickle.loads(r["router"]) for r in found})
+
+
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = 8192, target: float = 0.93) -> DataFrame:
     """embeddings (vec_id, embedding) -> (query_id, rank int, vec_id, score double), nearest first.
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows of another vec_id;
-    nearness is the inner product in double precision, ties go to the smaller vec_id. The model is fitted on
+    nearness is the inner product in double precision, ties go to the smaller vec_id. Models are fitted on
     at most `sample` rows, chosen by a hash of their id; every row is filed. A query that finds fewer than k
     candidates in the parts it visits visits all of them. Rows that clean_vectors leaves out (zero vectors
-    among them) take no part; repeated query rows are one query; an empty table gives no rows.
+    among them) take no part, and vectors of each length are searched by themselves; repeated query rows are
+    one query, repeated candidate rows count each; other columns are ignored; an empty table gives no rows.
     """
-    spark = embeddings.sparkSession
     vectors = saved(clean_vectors(embeddings, drop_zero=True), "vectors")
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not rows:
-        return spark.createDataFrame([], out)
-    x = np.unique(np.array([r["v"] for r in rows]), axis=0)
-    parts = min(parts, 1 << max(0, (len(x) // (2 * k)).bit_length() - 1))
-    if parts > 1:
-        router = fit(x, parts, k, target)
-    else:
-        d = x.shape[1]
-        router = Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), x.mean(axis=0), 1.0, 1, 1.0)
-    model = spark.sparkContext.broadcast(router)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = [_search(v, every, k, grow(v, k, sample, target)) for v in by_length(vectors)]
+    return reduce(DataFrame.unionByName, found, embeddings.sparkSession.createDataFrame([], OUT))
+
+
+def _search(vectors: DataFrame, every: int, k: int, tree: Tree) -> DataFrame:
+    spark = vectors.sparkSession
+    model = spark.sparkContext.broadcast(tree)
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                order = model.value.order(np.stack(b["v"].to_numpy()))
-                yield b.assign(parts=list(order.astype(np.int32)))
+                yield b.assign(part=[p[0] for p in model.value.visits(np.stack(b["v"].to_numpy()))])
+
+    def visit(whole: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield b.assign(part=model.value.visits(np.stack(b["v"].to_numpy()), whole)).explode("part").astype({"part": "int64"})
 
-    routed = saved(vectors.mapInPandas(route, "vec_id long, v array<double>, parts array<int>"), "routed")
-    index = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row for each part
-    blocks = {p: -(-n // BLOCK_ROWS) for p, n in sizes.items()}
-    queries = routed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+        return run
 
-    def blocks_of(part: F.Column) -> F.Column:
-        return F.coalesce(F.create_map(*[F.lit(int(y)) for kv in blocks.items() for y in kv])[part], F.lit(0))
+    kind = "vec_id long, v array<double>, part long"
+    index = saved(vectors.mapInPandas(file, kind), "index")
+    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("c_blocks"))
 
-    filed = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of(F.col("part"))).cast("int"))
+    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(qs) and len(cs):
+            ids, c = cs["vec_id"].to_numpy(np.int64), np.stack(cs["v"].to_numpy())
+            slack = 1e-12 * np.abs(c).sum(axis=1).max()
+            for i in range(0, len(qs), 512):
+                some = qs.iloc[i : i + 512]
+                q = np.stack(some["v"].to_numpy())
+                near = q @ c.T
+                for j, query in enumerate(some["vec_id"]):
+                    s = np.where(ids == query, -np.inf, near[j])
+                    least = -np.partition(-s, k - 1)[k - 1] if len(s) > k else -np.inf
+                    own = np.flatnonzero((s >= least - slack * np.abs(q[j]).max()) & (ids != query))
+                    exact = _exact(q[j], c[own])
+                    best = np.lexsort((ids[own], -exact))[:k]
+                    rows += [(query, ids[own[b]], exact[b]) for b in best]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     def found_in(asked: DataFrame) -> DataFrame:
-        """asked: (query_id, v, part) -> each block's k best of the query, then the best of all blocks."""
-        asked = asked.withColumn("n", blocks_of(F.col("part"))).filter("n > 0")
-        asked = asked.select(
-            F.col("vec_id").alias("query_id"), "v", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block")
-        )
-
-        def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            if len(qs) and len(cs):
-                ids, c = cs["vec_id"].to_numpy(np.int64), np.stack(cs["v"].to_numpy())
-                slack = 1e-12 * np.abs(c).sum(axis=1).max()
-                for i in range(0, len(qs), 512):
-                    some = qs.iloc[i : i + 512]
-                    q = np.stack(some["v"].to_numpy())
-                    near = q @ c.T
-                    for j, query in enumerate(some["query_id"]):
-                        s = np.where(ids == query, -np.inf, near[j])
-                        least = -np.partition(-s, k - 1)[k - 1] if len(s) > k else -np.inf
-                        own = np.flatnonzero((s >= least - slack * np.abs(q[j]).max()) & (ids != query))
-                        exact = _exact(q[j], c[own])
-                        best = np.lexsort((ids[own], -exact))[:k]
-                        rows += [(query, ids[own[b]], exact[b]) for b in best]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-        hits = asked.groupBy("part", "block").cogroup(filed.groupBy("part", "block"))
+        """asked: (vec_id, v, part) -> the best of each block of queries and candidates, then those of all blocks."""
+        asked = saved(asked, "asked")
+        both = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("q_blocks")).join(sizes, "part")
+        grid = saved(both, "grid")
+        block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        q = asked.join(grid, "part").withColumn("qb", block("q_blocks")).withColumn("cb", other("c_blocks"))
+        c = index.join(grid, "part").withColumn("cb", block("c_blocks")).withColumn("qb", other("q_blocks"))
+        key = ["part", "qb", "cb"]
+        hits = q.select(*key, "vec_id", "v").groupBy(*key).cogroup(c.select(*key, "vec_id", "v").groupBy(*key))
         hits = hits.applyInPandas(score, "query_id long, vec_id long, score double")
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    asked = queries.select("vec_id", "v", F.explode(F.slice("parts", 1, router.probes)).alias("part"))
-    first = saved(found_in(asked), "found")
-    if router.probes == parts:
-        return first.select("query_id", "rank", "vec_id", "score")
-    full = first.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = saved(queries.join(full, "vec_id", "left_anti").select("vec_id", "v", "parts"), "short")
-    again = found_in(short.select("vec_id", "v", F.explode("parts").alias("part")))
-    whole = first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)
-    return whole.select("query_id", "rank", "vec_id", "score")
+        best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return best.select("query_id", "rank", "vec_id", "score")
+
+    first = saved(found_in(queries.mapInPandas(visit(False), kind)), "found")
+    full = first.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    short = saved(queries.join(full.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return first
+    again = found_in(short.mapInPandas(visit(True), kind))
+    return first.join(full, "query_id", "left_semi").unionByName(again)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -9,19 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves if driver and executors are one process (local[n]);
+    on a cluster, whose machines would not share it, a ValueError is raised.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="shared-")
+        if found.isDefined():
+            base = found.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = "file://" + tempfile.mkdtemp(prefix="shared-")
+            _WRITTEN.add(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder; what is there goes with `discard`, or else when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +48,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.saved_at)
+
+
+@atexit.register
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_WRITTEN):
+            with contextlib.suppress(Exception):  # the driver ends: what cannot go now stays
+                remove(spark, path)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -52,7 +94,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = small.select("a", F.col("m").alias("b")).unionByName(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        star = saved(small.filter("a <> b").distinct(), name)
+        before, star = star, saved(small.filter("a <> b").distinct(), name)
+        discard(before)
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -62,15 +105,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def clean_vectors(embeddings: DataFrame, drop_zero: bool) -> DataFrame:
     """(vec_id long, v array<double>) of the rows that take part in a search.
 
-    Left out: null ids, null or empty vectors, those with null or non-finite components, zero vectors if
-    `drop_zero`, and vectors whose length is not the most frequent one (their product is not defined).
+    Left out: null ids, null or empty vectors, those with null or non-finite components, and zero vectors if
+    `drop_zero`.
     """
     v = F.col("embedding").cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite
     )
-    if drop_zero:
-        out = out.filter(F.exists("v", lambda x: x != 0))
-    most = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return out.filter(F.size("v") == (most["n"] if most else 0))
+    return out.filter(F.exists("v", lambda x: x != 0)) if drop_zero else out
+
+
+def by_length(vectors: DataFrame) -> list[DataFrame]:
+    """The vectors of each length by themselves: those of different lengths have no inner product."""
+    lengths = sorted(r[0] for r in vectors.select(F.size("v")).distinct().collect())
+    return [vectors] if len(lengths) == 1 else [vectors.filter(F.size("v") == n) for n in lengths]
