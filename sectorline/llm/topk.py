@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_vectors, saved
+from .common import by_length, clean_vectors, saved
 
 BINS = 4096
 #: Queries of a block; with their vectors they are what a task holds, whatever the size of the table.
@@ -125,26 +125,27 @@ def exact_top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int =
     """embeddings (vec_id, embedding) -> (query_id, rank int, vec_id, score): the k highest integer inner products.
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows of another vec_id. Ties go
-    to the smaller vec_id. Rows that clean_vectors leaves out are neither; vec_ids are taken to be unique - a
+    to the smaller vec_id. Rows that clean_vectors leaves out are neither; vectors of different lengths have no
+    product, so that each length is searched by itself. vec_ids are taken to be unique - a
     repeated candidate row counts again, a repeated query row is one query. Products outside the long range
     are clipped. Other columns are ignored; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
-    candidates = saved(quantised(embeddings, scale), "quantised")
-    queries = candidates.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).sortWithinPartitions("vec_id")
-    parts, ids, vectors = [], [], []
+    table = saved(quantised(embeddings, scale), "quantised")
+    parts = [p for candidates in by_length(table) for p in _blocks(candidates, every, k)]
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, [p.select(empty.columns) for p in parts], empty)
 
-    def flush() -> None:
-        parts.append(saved(_block(candidates, np.array(ids, np.int64), np.array(vectors), k), "topk"))
-        ids.clear()
-        vectors.clear()
 
+def _blocks(candidates: DataFrame, every: int, k: int) -> Iterator[DataFrame]:
+    """candidates: vectors of one length -> the results of each block of queries."""
+    queries = candidates.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).sortWithinPartitions("vec_id")
+    ids, vectors = [], []
     for row in queries.toLocalIterator():
         ids.append(row["vec_id"])
         vectors.append(row["v"])
         if len(ids) == BLOCK:
-            flush()
+            yield saved(_block(candidates, np.array(ids, np.int64), np.array(vectors), k), "topk")
+            ids, vectors = [], []
     if ids:
-        flush()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.unionByName, [p.select(empty.columns) for p in parts], empty)
+        yield saved(_block(candidates, np.array(ids, np.int64), np.array(vectors), k), "topk")
