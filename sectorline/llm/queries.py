@@ -41,7 +41,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-1, 0, "user", says), (-1, 1, "assistant", says)]
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
-    return chat.digests(chat.examples(chat.segments(rows)))
+    path = new_path(spark, "chat")
+    chat.write(chat.examples(chat.segments(rows)), path)
+    return chat.digests(chat.read(spark, path))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
     op9 = f"""
