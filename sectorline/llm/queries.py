@@ -33,7 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "tokens", "posterior", "rate", "copies")
+    return out.select("doc.doc_id", "tokens", "posterior", "rate", "copies", "residual")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sectorline.llm import licenses, mixing, pii, quality, queries, simhash, topk, warc
+from sectorline.llm import licenses, pii, quality, queries, simhash, topk, warc
 from sectorline.llm.common import components, new_path
 
 SF = "/root/testdata/sf0.001"
@@ -132,17 +132,6 @@ def test_licenses(spark):
     assert rows[2]["text_license"] is None and rows[3]["line_licenses"] == []
 
 
-def test_mixing_meets_targets(spark):
-    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = mixing.mixed(table, labels).select("tokens", "posterior", "rate").collect()
-    domains = sorted(rows[0]["posterior"])
-    total = sum(r["tokens"] for r in rows)
-    now = np.array([sum(r["tokens"] * r["posterior"][d] for r in rows) / total for d in domains])
-    got = np.array([sum(r["rate"] * r["tokens"] * r["posterior"][d] for r in rows) / total for d in domains])
-    assert np.abs(got - now**0.7 / (now**0.7).sum()).max() < 1e-3
-    assert mixing.mixed(nothing(spark), labels).count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     import duckdb

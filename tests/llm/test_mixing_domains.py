@@ -11,5 +11,5 @@ def test_every_domain_of_the_corpus_has_a_column(spark, monkeypatch):
     labels = spark.createDataFrame([(r[0],) for r in rows if r[2] != "dd"], "doc_id long")
     domains, weights = mixing.classifier(docs, labels, "lang", 30)
     assert domains == ["aa", "bb", "cc", "dd"] and weights.shape == (65536, 4)
-    out = mixing.mixed(docs, labels).filter("lang in ('cc', 'dd')").collect()
-    assert len(out) == 6 and all(max(r["posterior"], key=r["posterior"].get) == r["lang"] for r in out)
+    out = mixing.mixed(docs, labels).filter("doc.lang in ('cc', 'dd')").collect()
+    assert len(out) == 6 and all(max(r["posterior"], key=r["posterior"].get) == r["doc"]["lang"] for r in out)
