@@ -1,9 +1,11 @@
 """Document quality from a linear-chain conditional random field over lines.
 
-Each line is good or bad. Its features are its own statistics and those of the lines around it; lines of
-labelled documents start with their document's label. Forward-backward gives each line's marginal, whose
-mean weighted by line length is the document's share of good text; a logistic fit on the training documents
-turns the share into a score. No row's labels, lang, source or doc_id enter a score.
+Each line is good or bad. Its features are its own statistics and those of the lines around it. Only documents
+are labelled, so line labels are found by turns: a line model, then the field itself, tells which lines of a
+document labelled bad look bad (the worst ones at least) and which of one labelled good do by a wide margin, and
+the field is fitted to these labels, which can differ within a document. Forward-backward gives each line's
+marginal, whose mean weighted by line length is the document's share of good text; a logistic fit on the training
+documents turns the share into a score. No row's labels, lang, source or doc_id enter a score.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 #: Labelled documents that a model is fitted on, at most, and lines of a training chain.
 SAMPLE, CHAIN = 3000, 256
 THRESHOLD = 0.3
+#: P(good) below which a line of a document labelled good counts as bad; share of a bad document's text that does at least.
+CLEARLY, LEAST_BAD = 0.05, 0.34
 UPPER, LOWER, DIGIT, SPACE, SYMBOL, STOP, OTHER = range(7)
 
 
@@ -88,11 +92,17 @@ class Model:
     slope: float
     offset: float
 
+    def lines(self, x: np.ndarray) -> np.ndarray:
+        """P(good) of each line by its features."""
+        return marginals((x - self.centre) / self.spread @ self.weights, self.moves)
+
+    def share(self, x: np.ndarray, n: np.ndarray) -> float:
+        p = self.lines(x)
+        return float(p @ n / n.sum()) if n.sum() else float(p.mean())
+
     def good(self, text: str | None) -> float:
         """The share of good text, by the lines' marginals; of a text without any character, its one line's."""
-        x, n = line_features(text or "")
-        p = marginals((x - self.centre) / self.spread @ self.weights, self.moves)
-        return float(p @ n / n.sum()) if n.sum() else float(p.mean())
+        return self.share(*line_features(text or ""))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit(self.good(text)) + self.offset, -30, 30))))
@@ -126,28 +136,39 @@ def marginals(good: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 250, ridge: float = 1e-3) -> Model:
-    """Maximum likelihood by Adam over all chains at once; then the logistic fit of the documents' shares."""
-    y = np.array(labels, float)
-    found = [line_features(t or "")[0] for t in texts]
-    chains = [(f[i : i + CHAIN], k) for f, k in zip(found, y, strict=True) for i in range(0, len(f), CHAIN)]
-    rows = np.vstack([c for c, _ in chains])
-    centre, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-6
-    centre[-1], spread[-1] = 0, 1
-    size = np.array([len(c) for c, _ in chains])
-    order = np.argsort(-size, kind="stable")
-    size, width = size[order], size.max()
-    x = np.zeros((len(chains), width, rows.shape[1]), np.float32)
-    for i, j in enumerate(order):
-        x[i, : size[i]] = (chains[j][0] - centre) / spread
-    truth = np.array([chains[j][1] for j in order])
-    live = np.arange(width)[None, :] < size[:, None]
-    share = truth.mean()
-    balance = np.where(truth == 1, 0.5 / share, 0.5 / (1 - share)) / size
-    balance /= balance.sum()
-    w, moves = np.zeros(rows.shape[1]), np.zeros((2, 2))
-    m, v = [0.0, 0.0], [0.0, 0.0]
+def line_labels(good: np.ndarray, length: np.ndarray, label: int) -> np.ndarray:
+    """Labels of a document's lines from P(good) of each: those of a good document are bad only if clearly so, and never
+    most of its text; of a bad document the worst lines, a third of its text or more, are bad."""
+    order, length = np.argsort(good, kind="stable"), length + 1.0
+    held = np.cumsum(length[order]) / length.sum()
+    out = np.ones(len(good), np.int64)
+    if label:
+        out[order[(good[order] < CLEARLY) & (held < 0.5)]] = 0
+    else:
+        out[order[(good[order] < 0.5) | (held - length[order] / length.sum() < LEAST_BAD)]] = 0
+    return out
+
+
+def _adam(start: list[np.ndarray], gradients, rounds: int, rate: float) -> list[np.ndarray]:
+    p = [a.copy() for a in start]
+    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, rounds + 1):
+        for k, g in enumerate(gradients(*p)):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return p
+
+
+def _field(x: np.ndarray, size: np.ndarray, truth: np.ndarray, weight: np.ndarray, w: np.ndarray, moves: np.ndarray, rounds: int, ridge: float) -> list[np.ndarray]:
+    """Maximum likelihood of padded chains (longest first) with line labels `truth`, by Adam."""
+    width = x.shape[1]
+    live = np.arange(width)[None, :] < size[:, None]
+    seen = np.zeros((2, 2))
+    pairs = live[:, 1:]
+    np.add.at(seen, (truth[:, :-1][pairs], truth[:, 1:][pairs]), np.repeat(weight[:, None], width - 1, axis=1)[pairs])
+
+    def gradients(w: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = np.zeros((len(x), width, 2))
         e[:, :, 1] = np.clip(x @ w.astype(np.float32), -30, 30)
         pot, trans = np.exp(e), np.exp(moves)
@@ -162,21 +183,57 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, ridge: float = 1
             g = pot[:k, i + 1] * back[:k, i + 1]
             pair = f[:k, i, :, None] * trans * g[:, None, :]
             pair /= pair.sum(axis=(1, 2), keepdims=True)
-            own = truth[:k].astype(int)
-            both += np.einsum("n,nij->ij", balance[:k], pair)
-            np.subtract.at(both, (own, own), balance[:k])
+            both += np.einsum("n,nij->ij", weight[:k], pair)
             step = g @ trans.T
             back[:k, i] = step / step.sum(axis=1, keepdims=True)
         p = f * back
         p = p[:, :, 1] / np.maximum(p.sum(axis=2), 1e-300)
-        off = (p - truth[:, None]) * live * balance[:, None]
-        grads = (np.einsum("nl,nlf->f", off, x) + ridge * w, both + ridge * moves)
-        for k, (a, g) in enumerate(zip((w, moves), grads, strict=True)):
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.999 * v[k] + 0.001 * g * g
-            a -= 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        off = (p - truth) * live * weight[:, None]
+        return np.einsum("nl,nlf->f", off, x) + ridge * w, both - seen + ridge * moves
+
+    return _adam([w, moves], gradients, rounds, 0.05)
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 120, turns: int = 2, ridge: float = 1e-3) -> Model:
+    """A line model, then `turns` times line labels and the field fitted to them; then the logistic fit of the
+    documents' shares."""
+    y = np.array(labels, float)
+    found = [line_features(t or "") for t in texts]
+    begin = np.concatenate([[0], np.cumsum([len(f) for f, _ in found])])
+    rows, lengths = np.vstack([f for f, _ in found]), np.concatenate([n for _, n in found])
+    centre, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-6
+    centre[-1], spread[-1] = 0, 1
+    rows = ((rows - centre) / spread).astype(np.float32)
+    share = y.mean()
+    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+
+    # The line model: lines take their document's label, and all lines of a document weigh as much as it.
+    owner = np.repeat(np.arange(len(y)), np.diff(begin))
+    own = (balance / np.diff(begin))[owner]
+
+    def line(w: np.ndarray) -> list[np.ndarray]:
+        p = 1 / (1 + np.exp(-np.clip(rows @ w.astype(np.float32), -30, 30)))
+        return [((p - y[owner]) * own) @ rows + ridge * w]
+
+    (w,) = _adam([np.zeros(rows.shape[1])], line, 2 * rounds, 0.05)
+    moves = np.zeros((2, 2))
+    chains = [(i, a, min(a + CHAIN, begin[i + 1])) for i in range(len(y)) for a in range(begin[i], begin[i + 1], CHAIN)]
+    chains.sort(key=lambda c: c[1] - c[2])
+    size = np.array([b - a for _, a, b in chains])
+    x = np.zeros((len(chains), size.max(), rows.shape[1]), np.float32)
+    weight = np.array([own[a] for _, a, _ in chains])
+    for k, (_, a, b) in enumerate(chains):
+        x[k, : b - a] = rows[a:b]
+    for _ in range(turns):
+        odds = rows @ w
+        good = [marginals(odds[a:b], moves) for a, b in zip(begin, begin[1:], strict=False)]
+        told = np.concatenate([line_labels(g, lengths[a:b], int(k)) for g, a, b, k in zip(good, begin, begin[1:], y, strict=False)])
+        truth = np.zeros(x.shape[:2], np.int64)
+        for k, (_, a, b) in enumerate(chains):
+            truth[k, : b - a] = told[a:b]
+        w, moves = _field(x, size, truth, weight, w, moves, rounds, ridge)
     plain = Model(w, moves, centre, spread, 1.0, 0.0)
-    z = np.array([logit(plain.good(t)) for t in texts])
+    z = np.array([logit(plain.share(f, n)) for f, n in found])
     slope, offset = 1.0, 0.0
     for _ in range(50):  # Newton steps of a ridge logistic fit
         p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
@@ -195,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels.quality, from at most `sample` labelled rows that are not held out, chosen by a hash.
 
     With no such rows, or all of one class, scores are constant: that class's share, 0.5 without rows.
-    Conflicting repeated labels count as their smallest value.
+    Conflicting repeated labels count as their smallest value; of rows that repeat a doc_id the least text counts.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -208,8 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), 0.0, logit(share))
     # At most `sample` ids go to all executors.
     few = docs.sparkSession.createDataFrame([(i,) for i in quality], "doc_id long")
-    texts = docs.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    texts = sorted((r["doc_id"], r["text"]) for r in texts.fillna("", ["text"]).collect())
+    texts = docs.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = sorted((r["doc_id"], r["text"] or "") for r in texts.collect())
     return fit([t for _, t in texts], [quality[i] for i, _ in texts])
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sectorline.llm import licenses, pii, quality, queries, simhash, topk, warc
+from sectorline.llm import licenses, pii, queries, simhash, topk, warc
 from sectorline.llm.common import components, new_path
 
 SF = "/root/testdata/sf0.001"
@@ -100,17 +100,6 @@ def test_warc_members():
         list(warc.scan(content[:-3]))
 
 
-def test_quality_held_out(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model = quality.train(table, labels)
-    scored = quality.score(table, model).join(labels, "doc_id").filter(quality.held_out()).collect()
-    assert np.mean([(r["score"] >= 0.3) == r["quality"] for r in scored]) >= 0.95
-    odd = quality.score(docs(spark, [None, "", "\n\n", "x" * 200_000]), model).collect()
-    assert len(odd) == 4 and all(0 <= r["score"] <= 1 for r in odd)
-    assert quality.train(nothing(spark), labels).score("x") == pytest.approx(0.5)
-
-
 def test_pii(spark):
     text = "Mr John Smith a.bc@x.com, A.BC@x.com +1 (663) 555-6869 and 10.2.3.4; 4111 1111 1111 1111. Mr John Smith"
     got = pii.replaced(docs(spark, [text, None, "", "clean 12", text])).orderBy("doc_id").collect()
