@@ -50,14 +50,6 @@ def test_simhash_against_all_pairs(spark):
     assert {f: got.get(f, f) for f in fps} == root
 
 
-def test_simhash_cases(spark):
-    rows = simhash.near_duplicates(docs(spark, [None, "", " \t", "a b c d e f", "A b c D e f", "one two"])).collect()
-    got = {r["doc_id"]: r["component_id"] for r in rows}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
-    assert simhash.near_duplicates(nothing(spark)).count() == 0
-    assert simhash.deduplicate(docs(spark, ["x y z", "x y z", "q r"])).count() == 2
-
-
 def vectors(spark, n=300):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((n, 16)).astype(np.float32)
