@@ -86,7 +86,7 @@ def _sql_text(s: str) -> str:
 
 
 def _canonical(x: str) -> str:
-    out = f"regexp_replace(translate(coalesce({x}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT}', chr(10), 'g')"
+    out = f"regexp_replace(translate(coalesce({x}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT}', '', 'g')"
     out = f"(' ' || regexp_replace({out}, '{licenses.MARKS}', '  ', 'g') || ' ')"
     for a, b in licenses.SPELLINGS:
         a = f" {a} ".replace(" ", "  ")[1:-1]
@@ -95,7 +95,8 @@ def _canonical(x: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in licenses.KNOWN)
+    known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in licenses.entries())
+    digests = ", ".join(f"('{d}', '{i}')" for i, _, d in licenses.DIGESTS)
     op1 = f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS d, url FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS first FROM p)
@@ -112,13 +113,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
     op9 = f"""
-WITH book AS (SELECT sha256({_canonical("text")}) AS digest, min(id) AS id FROM (VALUES {known}) t(id, text)
-  WHERE {_canonical("text")} <> '' GROUP BY 1),
+WITH book AS (SELECT digest, min(id) AS id FROM (SELECT sha256({_canonical("text")}) AS digest, id FROM (VALUES {known}) t(id, text)
+  UNION ALL SELECT * FROM (VALUES {digests}) u(digest, id)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, sha256({_canonical("text")}) AS digest,
   string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, unnest(lines) AS line FROM d),
-m AS (SELECT r, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM l JOIN book ON book.digest = sha256({_canonical("line")})
-  WHERE regexp_matches(line, '[A-Za-z]') GROUP BY r)
+m AS (SELECT r, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM l JOIN book ON book.digest = sha256({_canonical("line")}) GROUP BY r)
 SELECT doc_id, d.digest, book.id AS text_license, coalesce(m.ids, '') AS line_licenses
 FROM d LEFT JOIN book USING (digest) LEFT JOIN m USING (r)"""
     return {"op1_warc": op1, "op7_topk": op7, "op9_licenses": op9}

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sectorline.llm import licenses, pii, queries, simhash, topk, warc
+from sectorline.llm import pii, queries, simhash, topk, warc
 from sectorline.llm.common import components, new_path
 
 SF = "/root/testdata/sf0.001"
@@ -105,14 +105,6 @@ def test_pii(spark):
     assert pii.collisions(many, "k").isEmpty() and pii.replaced(nothing(spark)).count() == 0
 
 
-def test_licenses(spark):
-    mit = licenses.KNOWN[2][1].replace("sublicense", "sub-license").upper()
-    got = licenses.scan(docs(spark, ["Copyright (c) 2020 X\n\n" + mit, "text\nReleased under the MIT Licence!\nmore", None, ""]), licenses.known(spark))
-    rows = {r["doc_id"]: r for r in got.collect()}
-    assert rows[0]["text_license"] == "MIT" and rows[1]["line_licenses"] == ["MIT"] and rows[1]["text_license"] is None
-    assert rows[2]["text_license"] is None and rows[3]["line_licenses"] == []
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     import duckdb
