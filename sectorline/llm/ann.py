@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import by_length, clean_vectors, saved
 
-#: Rows or queries of a part that one task scores at once; larger parts are cut into several blocks.
-BLOCK_ROWS = 4096
-#: Rows of a part, on average, and parts of a level at most.
-PART_ROWS, WIDTH = 512, 256
+#: Queries, and numbers in the vectors of candidates, that one task scores at once; larger parts are cut into several blocks.
+QUERIES, NUMBERS = 4096, 1 << 22
+#: Scores that a task holds at once.
+SCORES = 1 << 22
+#: Parts of a table, at least, if its sample has as many; rows of a part, on average, in larger tables; parts of a level at most.
+LEAST_PARTS, PART_ROWS, WIDTH = 16, 65536, 256
 #: Every so many rows of a sample are kept out of the fit and choose the number of parts to visit.
 KEPT_OUT = 5
 OUT = "query_id long, rank int, vec_id long, score double"
@@ -129,10 +131,11 @@ def single(d: int) -> Router:
     return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), np.zeros(d), 1.0, 1, 1.0)
 
 
-def fitted(rows: np.ndarray, n: int, k: int, target: float) -> Router:
-    """The router of a part with n rows, of which `rows` are a sample: parts of PART_ROWS rows, as far as the sample tells them apart."""
+def fitted(rows: np.ndarray, n: int, k: int, target: float, least: int = 1) -> Router:
+    """The router of a part with n rows, of which `rows` are a sample: `least` parts, or more of PART_ROWS rows, as far as
+    the sample tells them apart."""
     x = np.unique(rows, axis=0)
-    parts = min(-(-n // PART_ROWS), len(x) // (2 * k), WIDTH)
+    parts = min(max(least, -(-n // PART_ROWS)), len(x) // (2 * k), WIDTH)
     return fit(x, 1 << (parts.bit_length() - 1), k, target) if parts > 1 else single(x.shape[1])
 
 
@@ -169,7 +172,7 @@ def grow(vectors: DataFrame, k: int, sample: int, target: float) -> Tree:
     spark = vectors.sparkSession
     n = vectors.count()
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    top = fitted(np.array([r["v"] for r in rows]), n, k, target)
+    top = fitted(np.array([r["v"] for r in rows]), n, k, target, LEAST_PARTS)
     if n <= WIDTH * PART_ROWS:
         return Tree(top, {})
     held = spark.sparkContext.broadcast(top)
@@ -228,15 +231,17 @@ def _search(vectors: DataFrame, every: int, k: int, tree: Tree) -> DataFrame:
     kind = "vec_id long, v array<double>, part long"
     index = saved(vectors.mapInPandas(file, kind), "index")
     queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("c_blocks"))
+    rows = max(1, NUMBERS // len(tree.top.mean))
+    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("c_blocks"))
 
     def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(qs) and len(cs):
             ids, c = cs["vec_id"].to_numpy(np.int64), np.stack(cs["v"].to_numpy())
             slack = 1e-12 * np.abs(c).sum(axis=1).max()
-            for i in range(0, len(qs), 512):
-                some = qs.iloc[i : i + 512]
+            tile = max(1, SCORES // len(c))
+            for i in range(0, len(qs), tile):
+                some = qs.iloc[i : i + tile]
                 q = np.stack(some["v"].to_numpy())
                 near = q @ c.T
                 for j, query in enumerate(some["vec_id"]):
@@ -251,7 +256,7 @@ def _search(vectors: DataFrame, every: int, k: int, tree: Tree) -> DataFrame:
     def found_in(asked: DataFrame) -> DataFrame:
         """asked: (vec_id, v, part) -> the best of each block of queries and candidates, then those of all blocks."""
         asked = saved(asked, "asked")
-        both = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("q_blocks")).join(sizes, "part")
+        both = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_blocks")).join(sizes, "part")
         grid = saved(both, "grid")
         block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
         other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -52,7 +52,9 @@ def test_recall_at_a_tenth(spark):
 
 
 def test_hygiene(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    monkeypatch.setattr(ann, "NUMBERS", 16 * 20)
+    monkeypatch.setattr(ann, "SCORES", 64)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 16)).astype(np.float32)
     good = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(30)] + [(2300, [2.0, 1.0]), (2301, [1.0, -1.0])]
