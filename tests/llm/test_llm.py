@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sectorline.llm import pii, queries, simhash, topk, warc
+from sectorline.llm import queries, simhash, topk, warc
 from sectorline.llm.common import components, new_path
 
 SF = "/root/testdata/sf0.001"
@@ -92,19 +92,6 @@ def test_warc_members():
         list(warc.scan(content[:-3]))
 
 
-def test_pii(spark):
-    text = "Mr John Smith a.bc@x.com, A.BC@x.com +1 (663) 555-6869 and 10.2.3.4; 4111 1111 1111 1111. Mr John Smith"
-    got = pii.replaced(docs(spark, [text, None, "", "clean 12", text])).orderBy("doc_id").collect()
-    new = got[0]["text"]
-    assert got[4]["text"] == new and [r["text"] for r in got[1:4]] == [None, "", "clean 12"]
-    for gone in ("John", "Smith", "a.bc@", "663", "10.2.3.4", "4111"):
-        assert gone not in new
-    first, last = new.split(" ")[1:3], new.split(" ")[-2:]
-    assert first == last and new.split(" ")[3].rstrip(",") == new.split(" ")[4].lower()
-    many = docs(spark, [f"{i // 250}.{i % 250}.7.9 user{i}@mail.example.com +1 (200) 555-{i:04d}" for i in range(300)])
-    assert pii.collisions(many, "k").isEmpty() and pii.replaced(nothing(spark)).count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     import duckdb
