@@ -17,9 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    warc.write_archives(_table(spark, sf_dir, "pages"), f"{path}/archives")
+    pages = _table(spark, sf_dir, "pages")
+    warc.write_archives(pages, f"{path}/archives")
     warc.build_index(spark, f"{path}/archives", f"{path}/index")
-    return warc.read_captures(spark, f"{path}/index").drop("payload")
+    return warc.lookup(pages.select(warc.target("url").alias("url")), f"{path}/index").drop("payload")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """WARC archives with a two-level capture index.
 
 Archives are WARC 1.1 files in the shared folder, a gzip member for each record, written by Spark's text
-writer, so that any store will do and lost tasks leave nothing. The index has compressed blocks of captures sorted by reversed-host URL key, and a sparse directory
-with the first key of each block; a look-up bisects the directory, then the block, then reads one range.
+writer, so that any store will do and lost tasks leave nothing. The index has compressed blocks of captures sorted by
+reversed-host URL key, and a sparse directory with the first key of each block, in parts that are in order too.
+Look-ups are routed by bisecting the parts' first keys; each part's task bisects its directory, then the blocks
+it finds, and the captures found are read by ranges.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, saved
+
 LEAST = 1000
 BLOCK_LINES = 500
-#: Index blocks of a task that reads captures, until there are MOST_TASKS tasks.
-TASK_BLOCKS, MOST_TASKS = 20, 20_000
+#: Captures of an index part, on average, until there are MOST_PARTS parts: their first keys are held by every task.
+PART_CAPTURES, MOST_PARTS = 10_000, 20_000
+#: Bytes that a scan reads at once.
+CHUNK = 1 << 20
 #: Records of an archive file.
 RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 32
 LEVEL = 4
 GZIP = zlib.MAX_WBITS | 16
 CAPTURE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -38,6 +43,8 @@ CAPTURE = "page_id long, url string, record_type string, refers_to long, payload
 
 def url_key(url: str | None) -> str:
     """Reversed-host sort key: http://www.Example.com/a?b -> com,example,www)/a?b; '' for none."""
+    if not (url or "").strip():
+        return ""
     try:
         u = urlsplit((url or "").strip())
         host, port = (u.hostname or "").lower(), u.port
@@ -47,21 +54,24 @@ def url_key(url: str | None) -> str:
     return key + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
 
 
+def target(url: str) -> F.Column:
+    """A url as records have it: blanks and control characters as %20."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7F]", "%20")
+
+
 def _records(pages: DataFrame) -> DataFrame:
     """The record of each page, as a string `value`."""
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("url"),
+        target("url").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
     p = p.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long"))
     groups = p.filter(F.col("n") >= LEAST).groupBy("digest", "n").agg(
         F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")
     )
-    groups = groups.filter("copies > 1").drop("copies")
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    p = p.join(groups, ["digest", "n", "salt"], "left")
+    # A payload of many copies is a skewed key of this join, which Spark splits.
+    p = p.join(groups.filter("copies > 1").drop("copies"), ["digest", "n"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(
@@ -128,28 +138,29 @@ def _header(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def _members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, plain bytes) of each gzip member."""
-    at, view = 0, memoryview(content)
-    while at < len(view):
-        z, plain, end = zlib.decompressobj(GZIP), [], at
+def scan(archive) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """(offset, length, header) of each record of an archive, a binary file that is read in order; of a record no more
+    than its header is held."""
+    at, end, left = 0, 0, b""
+    while True:
+        z, head, size = zlib.decompressobj(GZIP), b"", 0
         while not z.eof:
-            if end >= len(view):
+            data = left or archive.read(CHUNK)
+            if not data:
+                if end == at and not size:
+                    return
                 raise ValueError("archive ends within a record")
-            plain.append(z.decompress(view[end : end + (1 << 14)]))
-            end += len(view[end : end + (1 << 14)])
-        end -= len(z.unused_data)
-        yield at, end - at, b"".join(plain)
+            plain, left = z.decompress(data), b""
+            size, end = size + len(plain), end + len(data)
+            if b"\r\n\r\n" not in head:
+                head += plain
+        left = z.unused_data
+        end -= len(left)
+        if size:
+            yield at, end - at, _header(head[: head.index(b"\r\n\r\n")])
         at = end
 
 
-def scan(content: bytes) -> Iterator[tuple[int, int, dict[str, str]]]:
-    """(offset, length, header) of each record of an archive."""
-    for at, n, plain in _members(content):
-        if plain:
-            yield at, n, _header(plain[: plain.index(b"\r\n\r\n")])
-
-
 def parse(record: bytes) -> tuple:
     """The fields of CAPTURE from the gzip member of a record."""
     record = zlib.decompressobj(GZIP).decompress(record)
@@ -166,25 +177,31 @@ def parse(record: bytes) -> tuple:
     return (int(page) if page else None, header.get("warc-target-uri"), kind, int(first) if first else None, size, digest, None if kind == "revisit" else payload)
 
 
+BLOCKS = "part int, block int, first_key string, data binary"
+
+
 def build_index(spark: SparkSession, archives: str, path: str) -> None:
     """Writes `path`/blocks (compressed captures, sorted by key) and `path`/directory (first key of each block)."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                rows = [(url_key(h.get("warc-target-uri")), name, at, n) for at, n, h in scan(content)]
+            for name in b["path"]:
+                with opened(name) as archive:
+                    rows = [(url_key(h.get("warc-target-uri")), name, at, n) for at, n, h in scan(archive)]
                 yield pd.DataFrame(rows, columns=["key", "path", "at", "n"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(archives).select("path", "content")
-    found = files.mapInPandas(entries, "key string, path string, at long, n long")
-    found = found.repartitionByRange("key", "path", "at").sortWithinPartitions("key", "path", "at")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(archives).select("path", "length")
+    found = saved(files.mapInPandas(entries, "key string, path string, at long, n long"), "entries")
+    parts = max(1, min(-(-found.count() // PART_CAPTURES), MOST_PARTS))
+    order = ["key", "path", "at"]
+    placed = found.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k, lines = TaskContext.get().partitionId(), 0, []
 
         def block() -> pd.DataFrame:
             data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
-            return pd.DataFrame({"block_id": [(part << 32) + k], "first_key": [lines[0][0]], "lines": [len(lines)], "data": [data]})
+            return pd.DataFrame({"part": [part], "block": [k], "first_key": [lines[0][0]], "data": [data]})
 
         for b in batches:
             for row in b.itertuples(index=False):
@@ -195,9 +212,81 @@ def build_index(spark: SparkSession, archives: str, path: str) -> None:
         if lines:
             yield block()
 
-    kind = "block_id long, first_key string, lines long, data binary"
-    found.mapInPandas(blocks, kind).write.parquet(f"{path}/blocks")
-    spark.read.schema(kind).parquet(f"{path}/blocks").select("block_id", "first_key").write.parquet(f"{path}/directory")
+    placed.mapInPandas(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    discard(found)
+    spark.read.schema(BLOCKS).parquet(f"{path}/blocks").drop("data").write.parquet(f"{path}/directory")
+
+
+def opened(path: str):
+    """A file of any store, for reading ranges."""
+    from pyarrow import fs
+
+    uri = "file://" + path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
+    store, inner = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(inner)
+
+
+def find(keys: list[str], directory: list[tuple[str, bytes]]) -> Iterator[tuple[str, str, int, int]]:
+    """The captures (key, path, at, n) of `keys`, ascending, in a part: bisects its directory (first key and block, in
+    order), then the block, and goes on to the next one where a key runs over its end."""
+    firsts, held, lines = [f for f, _ in directory], None, []
+    for key in keys:
+        i = max(0, bisect.bisect_left(firsts, key) - 1)
+        while i < len(firsts) and firsts[i] <= key:
+            if held != i:
+                held, lines = i, [json.loads(x) for x in zlib.decompress(directory[i][1]).decode().split("\n")]
+            j = bisect.bisect_left(lines, key, key=lambda x: x[0])
+            while j < len(lines) and lines[j][0] == key:
+                yield tuple(lines[j])
+                j += 1
+            if j < len(lines):
+                break
+            i += 1
+
+
+def lookup(urls: DataFrame, index: str) -> DataFrame:
+    """urls (url) -> the captures of all of them, with the columns of CAPTURE, each capture once; payload is null for revisits.
+
+    Urls without a capture give no rows; null and blank urls find the captures without target.
+    """
+    spark = urls.sparkSession
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": [url_key(u) for u in b["url"]]})
+
+    asked = urls.select("url").distinct().mapInPandas(keys, "key string").distinct()
+    directory = spark.read.schema("part int, block int, first_key string").parquet(f"{index}/directory")
+    firsts = sorted((r["first"], r["part"]) for r in directory.groupBy("part").agg(F.min("first_key").alias("first")).collect())  # MOST_PARTS rows at most
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f for f, _ in firsts]
+        for b in batches:
+            # From the last part that begins before the key to the last that begins with it.
+            rows = [(k, firsts[i][1]) for k in b["key"] for i in range(max(0, bisect.bisect_left(names, k) - 1), bisect.bisect_right(names, k))]
+            yield pd.DataFrame(rows, columns=["key", "part"])
+
+    def search(key: tuple, asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("block")
+        found = find(sorted(asked["key"]), list(zip(blocks["first_key"], blocks["data"], strict=True)))
+        return pd.DataFrame([x[1:] for x in found], columns=["path", "at", "n"])
+
+    routed = asked.mapInPandas(route, "key string, part int")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{index}/blocks")
+    found = routed.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(search, "path string, at long, n long")
+    found = saved(found, "found")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranges, names = Ranges(), [x.split()[0] for x in CAPTURE.split(", ")]
+        for b in batches:
+            for i in range(0, len(b), 50):
+                rows = [parse(ranges.read(r.path, r.at, r.n)) for r in b.iloc[i : i + 50].itertuples(index=False)]
+                out = pd.DataFrame(rows, columns=names, dtype=object)
+                yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+
+    # Captures are named by little data but stand for much more: a number of tasks that Spark does not merge by size.
+    tasks = max(1, min(-(-found.count() // PART_CAPTURES), MOST_PARTS))
+    return found.repartition(tasks, "path", "at").mapInPandas(run, CAPTURE)
 
 
 class Ranges:
@@ -207,50 +296,9 @@ class Ranges:
         self.open, self.most = OrderedDict(), most
 
     def read(self, path: str, at: int, n: int) -> bytes:
-        from pyarrow import fs
-
         if path not in self.open:
-            store, inner = fs.FileSystem.from_uri("file://" + path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path)
-            self.open[path] = store.open_input_file(inner)
+            self.open[path] = opened(path)
             if len(self.open) > self.most:
                 self.open.popitem(last=False)[1].close()
         self.open.move_to_end(path)
         return self.open[path].read_at(n, at)
-
-
-def read_captures(spark: SparkSession, index: str) -> DataFrame:
-    """Every capture of an index, by range reads: the columns of CAPTURE; payload is null for revisits."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges, names = Ranges(), [x.split()[0] for x in CAPTURE.split(", ")]
-        for b in batches:
-            for data in b["data"]:
-                lines = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
-                for i in range(0, len(lines), 50):
-                    rows = [parse(ranges.read(path, at, n)) for _, path, at, n in lines[i : i + 50]]
-                    out = pd.DataFrame(rows, columns=names)
-                    yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
-
-    blocks = spark.read.schema("block_id long, data binary").parquet(f"{index}/blocks")
-    # Blocks are small but stand for much more: a number of tasks that Spark does not merge by size.
-    count = spark.read.parquet(f"{index}/directory").count()
-    tasks = min(-(-count // TASK_BLOCKS), MOST_TASKS)
-    return blocks.repartition(max(1, tasks), "block_id").mapInPandas(run, CAPTURE)
-
-
-def lookup(spark: SparkSession, index: str, url: str) -> list[tuple]:
-    """The captures of one url as CAPTURE tuples: binary search in the directory and in its blocks."""
-    key = url_key(url)
-    before = spark.read.parquet(f"{index}/directory").filter(F.col("first_key") < key)
-    start = before.orderBy(F.desc("first_key"), F.desc("block_id")).select("block_id").first()
-    blocks = spark.read.parquet(f"{index}/blocks").filter(F.col("first_key") <= key)
-    if start:
-        blocks = blocks.filter(F.col("block_id") >= start[0])
-    out, ranges = [], Ranges()
-    for row in blocks.orderBy("block_id").select("data").toLocalIterator():
-        lines = [json.loads(x) for x in zlib.decompress(row["data"]).decode().split("\n")]
-        i = bisect.bisect_left(lines, key, key=lambda x: x[0])
-        while i < len(lines) and lines[i][0] == key:
-            out.append(parse(ranges.read(*lines[i][1:])))
-            i += 1
-    return out

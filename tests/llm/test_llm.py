@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sectorline.llm import queries, simhash, topk, warc
-from sectorline.llm.common import components, new_path
+from sectorline.llm import queries, simhash, topk
+from sectorline.llm.common import components
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row int, salt int"
@@ -69,29 +69,6 @@ def test_top_k_against_brute_force(spark):
     assert topk.exact_top_k(vectors(spark).limit(0)).count() == 0
 
 
-def test_warc_round_trip_and_lookup(spark):
-    page = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 90
-    rows = [(1, "http://a.example/x", page, 0), (9, "http://b.example/", page, 0), (3, None, None, 0), (4, "http://a.example/x", "", 0), (5, "bad url\r\n:x", "short", 0), (None, "http://c.example", page, 0)]
-    path = new_path(spark, "test")
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, first int"), f"{path}/a")
-    warc.build_index(spark, f"{path}/a", f"{path}/i")
-    got = {r["page_id"]: r for r in warc.read_captures(spark, f"{path}/i").collect()}
-    assert set(got) == {1, 9, 3, 4, 5, None}
-    assert bytes(got[9]["payload"]).decode() == page and (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 9)
-    assert got[None]["refers_to"] == 9 and got[3]["payload_bytes"] == 0 and got[5]["record_type"] == "response"
-    assert got[1]["payload_digest"] == hashlib.sha1(page.encode()).hexdigest()
-    assert sorted(r[0] for r in warc.lookup(spark, f"{path}/i", "http://a.example/x")) == [1, 4]
-
-
-def test_warc_members():
-    first, empty = warc.member(b"WARC/1.1\r\nA: b\r\n\r\n"), gzip.compress(b"", mtime=0)
-    assert first[-1] == 0 and gzip.decompress(first).startswith(b"WARC/1.1")
-    content = first + empty + first  # a long record is followed by an empty member
-    assert [(at, n) for at, n, _ in warc.scan(content)] == [(0, len(first)), (len(first) + len(empty), len(first))]
-    with pytest.raises(ValueError):
-        list(warc.scan(content[:-3]))
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     import duckdb
