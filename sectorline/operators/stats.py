@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import before
+
 DEVICE = ["session_id", "device_id"]
 
 
@@ -68,9 +70,57 @@ def session_best_sectors(e: DataFrame) -> DataFrame:
 
 
 def event_telemetry(events: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Per event of a device: number of fixes in (ts - time, ts], least and greatest latitude."""
-    micros = lambda c: F.unix_micros(c)
-    f = fixes.select("device_id", F.col("ts").alias("fix_ts"), "lat")
-    inside = (micros(F.col("fix_ts")) > micros(F.col("ts")) - F.col("time_ticks") / 10) & (F.col("fix_ts") <= F.col("ts"))
-    hits = events.join(f, "device_id").filter(inside)
+    """Per event of a device with fixes in (ts - time, ts]: their number, least and greatest latitude."""
+    hits = in_window(events.select("device_id", "ord", "ts", "time_ticks"), fixes.select("device_id", "ts", "lat"), 86_400_000_000)
     return hits.groupBy("device_id", "ord").agg(F.count(F.lit(1)).alias("n_fixes"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"))
+
+
+def current_lap_time(e: DataFrame, as_of_us: Column) -> DataFrame:
+    """Ticks since a device's last lap (by number), else since its last event."""
+    lap = F.max(F.when(F.col("type") == "Lap", F.struct("lap", -F.col("ord"), F.unix_micros("ts").alias("us"))))["us"]
+    last = F.max(F.struct("ord", F.unix_micros("ts").alias("us")))["us"]
+    one = e.groupBy(*DEVICE).agg(F.coalesce(lap, last).alias("us"))
+    return one.select(*DEVICE, ((as_of_us - F.col("us")) * 10).alias("current_ticks"))
+
+
+def best_sector_flags(e: DataFrame) -> DataFrame:
+    """is_best_sector of each sector event at its arrival: a positive time that no earlier one of the device's sector beats."""
+    s = e.filter("type = 'Sector'")
+    timed = F.when(F.col("time_ticks") > 0, F.col("time_ticks"))
+    out = before(s, [*DEVICE, "sector"], ["ord"], F.floor(F.col("ord") / (1 << 20)), timed, F.min, "best")
+    flag = (F.col("time_ticks") > 0) & (F.col("best").isNull() | (F.col("time_ticks") <= F.col("best")))
+    return out.select(*DEVICE, "ord", "sector", flag.alias("is_best_sector"))
+
+
+def max_speed(fixes: DataFrame, key: str = "device_id") -> DataFrame:
+    """The highest positive speed of each device, 0 if there is none."""
+    return fixes.groupBy(key).agg(F.greatest(F.coalesce(F.max("speed"), F.lit(0.0)), F.lit(0.0)).alias("max_speed"))
+
+
+def event_vector(kind: Column, lap: Column, sector: Column, ticks: Column, first: tuple[Column, Column], second: tuple[Column, Column], factor: Column) -> Column:
+    """[type, lap, sector, time in ms, first lat, lon, second lat, lon, factor] as doubles; missing coordinates are 0."""
+    number = F.when(kind == "Lap", 0).when(kind == "Sector", 1).when(kind == "Start", 2).when(kind == "Position", 3).otherwise(4)
+    cells = [number, lap, sector, ticks / 10_000, *[F.coalesce(c, F.lit(0.0)) for c in (*first, *second)], factor]
+    return F.array(*[c.cast("double") for c in cells])
+
+
+def in_window(events: DataFrame, fixes: DataFrame, width_us: int = 600_000_000) -> DataFrame:
+    """Pairs of an event (device_id, ord, ts, time_ticks) and the fixes of its device in (ts - time, ts].
+
+    Both sides meet by device and by the slice of width_us that a fix falls in, so that a long-lived device is the work of
+    many tasks and an event meets the fixes of its window's slices alone.
+    """
+    slice_of = lambda us: F.floor(us / width_us)
+    end = F.unix_micros("ts")
+    e = events.withColumn("__end", end).withColumn("__begin", end - F.col("time_ticks") / 10)
+    e = e.filter("time_ticks > 0").withColumn("__slice", F.explode(F.sequence(slice_of(F.col("__begin")), slice_of(F.col("__end")))))
+    f = fixes.withColumn("__us", F.unix_micros("ts")).drop("ts").withColumn("__slice", slice_of(F.col("__us")))
+    hits = e.join(f, ["device_id", "__slice"]).filter("__us > __begin and __us <= __end")
+    return hits.drop("__slice", "__begin", "__end")
+
+
+def channel_ranges(events: DataFrame, fixes: DataFrame, channel: str = "data") -> DataFrame:
+    """Per event and place in the channel vector, the least and greatest value of the fixes of its window; nulls do not count."""
+    hits = in_window(events.select("device_id", "ord", "ts", "time_ticks"), fixes.select("device_id", "ts", channel))
+    cells = hits.select("device_id", "ord", F.posexplode(channel).alias("channel", "value"))
+    return cells.groupBy("device_id", "ord", "channel").agg(F.min("value").alias("data_min"), F.max("value").alias("data_max"))

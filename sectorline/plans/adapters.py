@@ -23,6 +23,17 @@ te AS (SELECT user_id % 10 AS session_id, user_id AS device_id, user_id AS devic
   CAST(1 + count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (PARTITION BY user_id ORDER BY event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS lap,
   event_id % 37 = 0 AS deleted FROM events)"""
+MESSAGES_SQL = """
+msg AS (SELECT session_id, device_id, ord AS arrival, CASE WHEN ord % 17 = 0 THEN ts - INTERVAL 3 HOUR ELSE ts END AS ts, type, lap, sector, time_ticks,
+  CASE WHEN ord % 29 = 0 THEN coalesce(lag(ord) OVER (PARTITION BY device_id ORDER BY ord), ord) ELSE ord END AS id,
+  CASE WHEN ord % 29 = 0 THEN ts END AS deleted_at,
+  CASE ord % 5 WHEN 0 THEN 'Name ' || (ord % 3) WHEN 1 THEN '  ' END AS display_name,
+  CASE WHEN ord % 7 = 0 THEN 'C' || (ord % 2) END AS category FROM te),
+nth AS (SELECT *, row_number() OVER (PARTITION BY session_id, device_id, id ORDER BY arrival) AS nth FROM msg),
+gone AS (SELECT session_id, device_id, id, min(arrival) AS arrival FROM nth WHERE nth > 1 AND deleted_at IS NOT NULL GROUP BY 1, 2, 3),
+ev AS (SELECT n.session_id, n.device_id, n.device_id AS device_ord, n.arrival AS ord, n.ts, CASE WHEN n.type = 'Lap' THEN 'Lap' ELSE 'Sector' END AS type,
+  n.lap, n.sector, n.time_ticks, n.id, n.nth = 1 AND g.arrival IS NOT NULL AS deleted, g.arrival AS removed_by
+  FROM nth n LEFT JOIN gone g ON n.session_id = g.session_id AND n.device_id = g.device_id AND n.id = g.id AND n.nth = 1 WHERE n.nth = 1 OR n.deleted_at IS NULL)"""
 FIXES_SQL = """
 fx AS (SELECT user_id AS device_id, event_id AS arrival_ord, ts, 50.0::DOUBLE + ((event_id * 7919) % 1000)::DOUBLE / 100000.0::DOUBLE AS lat,
   5.0::DOUBLE + ((event_id * 104729) % 1000)::DOUBLE / 100000.0::DOUBLE AS lon FROM events),
@@ -64,6 +75,18 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live messages: some arrive late, some ask for the deletion of their device's event before, names come and go."""
+    e, o = timing_events(spark, sf_dir), F.col("ord")
+    w = Window.partitionBy("device_id").orderBy("ord")
+    return e.select(
+        "session_id", "device_id", o.alias("arrival"), F.when(o % 17 == 0, F.col("ts") - F.expr("INTERVAL 3 HOURS")).otherwise(F.col("ts")).alias("ts"), "type", "lap", "sector", "time_ticks",
+        F.when(o % 29 == 0, F.coalesce(F.lag("ord").over(w), o)).otherwise(o).alias("id"), F.when(o % 29 == 0, F.col("ts")).alias("deleted_at"),
+        F.when(o % 5 == 0, F.concat(F.lit("Name "), (o % 3).cast("string"))).when(o % 5 == 1, "  ").alias("display_name"),
+        F.when(o % 7 == 0, F.concat(F.lit("C"), (o % 2).cast("string"))).alias("category"),
+    )
+
+
 def circuits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CIRCUITS, "ord int, code string, name string, lat1 double, lon1 double, lat2 double, lon2 double")
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fmt, geo
-from ..operators import board, circuits, crossings, stats
-from . import adapters
+from ..operators import board, circuits, crossings, ranking, stats
+from . import adapters, timer_sql
 
 HOUR = 3_600_000_000
 CONFIG = crossings.TimerConfig(cooldown_us=12 * HOUR, idle_us=24 * HOUR)
@@ -20,6 +20,10 @@ def _events(use: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: use(adapters.timing_events(spark, sf_dir))
 
 
+def _messages(use: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: use(adapters.messages(spark, sf_dir))
+
+
 def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, p = [F.lit(x) for x in LINE], [F.col("lat"), F.col("lon")]
     return adapters.fixes(spark, sf_dir).select(
@@ -51,11 +55,12 @@ def _timer(closed: bool) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _rank_change(e: DataFrame) -> DataFrame:
-    return board.rank_changes(board.ranking(e), board.ranking(e.filter("ord % 2 = 0")))
+    return ranking.rank_changes(ranking.ranking(e), ranking.ranking(e.filter("ord % 2 = 0")))
 
 
 def _times(e: DataFrame) -> DataFrame:
     ticks = F.when(F.col("deleted"), -F.col("time_ticks")).otherwise(F.col("time_ticks"))
+    ticks = F.when(F.col("ord") % 43 == 0, F.lit(None)).otherwise(ticks)
     return e.select("ord", fmt.format_time(ticks).alias("time_text"), fmt.format_time(ticks, sign=True).alias("signed_text"))
 
 
@@ -65,11 +70,11 @@ def _lines(e: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "ranking": _events(board.ranking),
+        "ranking": _events(ranking.ranking),
         "ranking_rank_change": _events(_rank_change),
         "board_best_flags": _events(board.best_flags),
         "board_colours": _events(board.colours),
-        "late_events": _events(board.late_events),
+        "late_events": _messages(lambda m: board.late_events(board.apply(m))),
         "last_event": _events(stats.last_event),
         "last_lap": _events(stats.last_lap),
         "best_lap": _events(stats.best_lap),
@@ -97,7 +102,7 @@ def _sql_text(ticks: str) -> str:
     ms = f"(abs({ticks}) // 10000)"
     tail = f"'.' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
     s = f"({ms} // 1000 % 60)"
-    return f"CASE WHEN {ticks} >= 600000000 THEN ({ms} // 60000 % 60) || ':' || lpad(CAST({s} AS VARCHAR), 2, '0') || {tail} WHEN {ticks} >= 100000000 THEN lpad(CAST({s} AS VARCHAR), 2, '0') || {tail} ELSE CAST({s} AS VARCHAR) || {tail} END"
+    return f"CASE WHEN {ticks} IS NULL THEN NULL WHEN {ticks} >= 600000000 THEN ({ms} // 60000 % 60) || ':' || lpad(CAST({s} AS VARCHAR), 2, '0') || {tail} WHEN {ticks} >= 100000000 THEN lpad(CAST({s} AS VARCHAR), 2, '0') || {tail} ELSE CAST({s} AS VARCHAR) || {tail} END"
 
 
 def _km(a: str, b: str) -> str:
@@ -135,9 +140,8 @@ def oracle_sql() -> dict[str, str]:
 SELECT r.session_id, r.device_id, r.rank, coalesce(o.rank, r.rank) AS previous_rank, coalesce(o.rank, r.rank) - r.rank AS change,
   coalesce(o.rank, r.rank) <> r.rank AS has_changed FROM r LEFT JOIN o USING (session_id, device_id)""",
         "board_best_flags": f"{te}, {live}, {flags} SELECT * FROM flags",
-        "board_colours": f"""{te}, {live}, {flags} SELECT session_id, ord, CASE WHEN time_ticks <= 0 THEN 'Black'
-  WHEN time_ticks <= min(time_ticks) OVER (PARTITION BY session_id, type, sector) THEN 'Purple' WHEN was_personal_best THEN 'Green' ELSE 'Goldenrod' END AS colour FROM flags""",
-        "late_events": f"""{te} SELECT session_id, device_id, ord FROM te
+        "board_colours": f"""{te}, {live}, {flags} SELECT session_id, ord, CASE WHEN time_ticks <= min(time_ticks) OVER (PARTITION BY session_id, type, CASE WHEN type = 'Lap' THEN 0 ELSE sector END) THEN 'Purple' WHEN was_personal_best THEN 'Green' ELSE 'Goldenrod' END AS colour FROM flags""",
+        "late_events": f"""{te}, {adapters.MESSAGES_SQL} SELECT session_id, device_id, ord FROM ev
 QUALIFY ts < max(ts) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
         "last_event": top("ord DESC", "type, time_ticks", "true"),
         "last_lap": top("lap DESC, ord", "lap, time_ticks", "type = 'Lap'"),
@@ -163,9 +167,11 @@ FROM te JOIN fx ON te.device_id = fx.device_id AND epoch_us(fx.ts) > epoch_us(te
         "circuit_detect": f"""WITH {adapters.FIXES_SQL}, {adapters.CIRCUITS_SQL} SELECT arrival_ord, code AS circuit_code FROM fx LEFT JOIN circuits ON
   lat BETWEEN least(lat1, lat2) AND greatest(lat1, lat2) AND lon BETWEEN least(lon1, lon2) AND greatest(lon1, lon2)
 QUALIFY row_number() OVER (PARTITION BY arrival_ord ORDER BY ord) = 1""",
-        "format_time": f"{te}, t AS (SELECT ord, CASE WHEN deleted THEN -time_ticks ELSE time_ticks END AS t FROM te) SELECT ord, {_sql_text('t')} AS time_text, CASE WHEN t < 0 THEN '-' ELSE '+' END || {_sql_text('t')} AS signed_text FROM t",
+        "format_time": f"{te}, t AS (SELECT ord, CASE WHEN ord % 43 = 0 THEN NULL WHEN deleted THEN -time_ticks ELSE time_ticks END AS t FROM te) SELECT ord, coalesce({_sql_text('t')}, '-') AS time_text, coalesce(CASE WHEN t < 0 THEN '-' WHEN t > 0 THEN '+' ELSE '' END || {_sql_text('t')}, '-') AS signed_text FROM t",
         "native_event_lines": f"{te} SELECT ord, '#Event=' || (epoch_us(ts) // 1000) || ',' || type || ',' || lap || ',' || sector || ',' || time_ticks AS line FROM te",
     }
+    out["timer_closed"] = timer_sql.timer(CONFIG.cooldown_us, CONFIG.idle_us, True)
+    out["timer_open"] = timer_sql.timer(CONFIG.cooldown_us, CONFIG.idle_us, False)
     for name, sign in (("any", "true"), ("toward", "den >= 0"), ("away", "den <= 0")):
         out[f"crossings_{name}"] = f"""WITH {adapters.FIXES_SQL}, {adapters.GATES_SQL},
 x AS (SELECT *, (lon2 - lon1) * (lat - plat) - (lat2 - lat1) * (lon - plon) AS den FROM tr, gates WHERE plat IS NOT NULL),
