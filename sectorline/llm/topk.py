@@ -1,28 +1,29 @@
 """Exact top-k by distributed histogram selection.
 
-Queries go in blocks of bounded size. For a block every candidate is scored several times: each pass
-returns, for a query, the histogram bins from the top down to the task's own kth value - the global kth
-value cannot lie lower - and the summed histogram narrows the range until a bin is one integer wide. The
-last pass keeps what lies above the kth value, and of its ties each task's k smallest ids.
+Every task holds a tile of candidates of bounded size and reads the queries, a block at a time, from the shared
+folder; so one job scores all queries against all candidates, whatever their number. It is done several times: each
+pass returns, for a query, the histogram bins from the top down to the tile's own kth value - the global kth value
+cannot lie lower - and the summed histogram narrows the query's range until a bin is one integer wide. The last
+pass keeps what lies at or above the kth value, and of its ties each tile's k smallest ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_length, clean_vectors, saved
+from .common import by_length, clean_vectors, opened, saved
 
 BINS = 4096
-#: Queries of a block; with their vectors they are what a task holds, whatever the size of the table.
-BLOCK = 4096
-TILE = 2048
+#: Candidates of a tile, queries of a block, and scores that a task holds at once.
+TILE, BLOCK, SCORES = 65_536, 4096, 1 << 22
 EXACT = 2.0**53
+OUT = "query_id long, rank int, vec_id long, score long"
 
 
 def quantised(embeddings: DataFrame, scale: int) -> DataFrame:
@@ -39,86 +40,87 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(2**63), 2**63 - 1).astype(object)
 
 
-def _tiles(batches: Iterator[pd.DataFrame], ids: np.ndarray, vectors: np.ndarray):
-    for b in batches:
-        for i in range(0, len(b), TILE):
-            part = b.iloc[i : i + TILE]
-            cand = part["vec_id"].to_numpy(np.int64)
-            c = np.stack(part["v"].to_numpy())
-            for j in range(0, len(ids), TILE):
-                s = _scores(vectors[j : j + TILE], c)
-                yield j, ids[j : j + TILE], cand, s
-
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, lows) of BLOCK queries at a time, from the Parquet files of a saved table."""
+    from pyarrow import parquet
+
+    for name in files:
+        with opened(name) as file:
+            for b in parquet.ParquetFile(file).iter_batches(BLOCK, columns=["vec_id", "v", "low"]):
+                if b.num_rows:
+                    yield b.column("vec_id").to_numpy(), _vectors(b.column("v")), b.column("low").to_numpy()
+
+
+def _over_tiles(candidates: DataFrame, asked: DataFrame, use: Callable, names: list[str]) -> DataFrame:
+    """The rows that use(query, low, scores, ids) gives for each query and tile, as columns of longs."""
+    files = asked.inputFiles()
+
+    def done(ids: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORES // len(c))
+        for queries, vectors, lows in _blocks(files):
+            out: list[tuple] = []
+            for i in range(0, len(queries), step):
+                for q, low, s in zip(queries[i : i + step].tolist(), lows[i : i + step].tolist(), _scores(vectors[i : i + step], c), strict=True):
+                    out += use(q, low, s, ids)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for i in range(0, b.num_rows, TILE):
+                held.append(b.slice(i, TILE))
+                if sum(x.num_rows for x in held) >= TILE:
+                    yield from done(np.concatenate([x.column("vec_id").to_numpy() for x in held]), np.vstack([_vectors(x.column("v")) for x in held]))
+                    held = []
+        if sum(x.num_rows for x in held):
+            held = [x for x in held if x.num_rows]
+            yield from done(np.concatenate([x.column("vec_id").to_numpy() for x in held]), np.vstack([_vectors(x.column("v")) for x in held]))
+
+    return candidates.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _search(candidates: DataFrame, every: int, k: int) -> DataFrame:
+    """candidates: vectors of one length -> query_id, rank, vec_id, score."""
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    norm, most = candidates.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))), F.max(largest)).first()
+    top = int(min((norm or 0.0) * (most or 0.0), 2.0**61)) + 1
+    width = max(1, -(-(2 * top + 1) // BINS))
+    asked = candidates.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = saved(asked.withColumn("low", F.lit(-top).cast("long")), "asked")
+    while True:
 
-def _block(candidates: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-    spark = candidates.sparkSession
-    held = spark.sparkContext.broadcast((ids, vectors))
-    norm = candidates.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)))).first()[0] or 0.0
-    top = int(min(norm * np.abs(vectors).max(initial=0), 2.0**62)) + 1
-    low, width = {int(q): -top for q in ids}, max(1, -(-(2 * top + 1) // BINS))
+        def histogram(q: int, low: int, s: np.ndarray, ids: np.ndarray, width=width) -> list[tuple]:
+            # Values under the range were ruled out by an earlier pass.
+            bins = (s[ids != q] - low) // width
+            bins = bins[bins >= 0]
+            if len(bins) > k:
+                bins = bins[bins >= np.partition(bins, len(bins) - k)[len(bins) - k]]
+            found, n = np.unique(bins, return_counts=True)
+            return [(q, int(b), int(m)) for b, m in zip(found, n, strict=True)]
 
-    while True:
-        lows = np.array([low[int(q)] for q in ids], dtype=object)
-        at = spark.sparkContext.broadcast((lows, width))
-
-        def histogram(batches: Iterator[pd.DataFrame], at=at) -> Iterator[pd.DataFrame]:
-            ids, vectors = held.value
-            lows, width = at.value
-            found: list[dict[int, int]] = [{} for _ in ids]
-            for j, qs, cand, s in _tiles(batches, ids, vectors):
-                for r in range(len(qs)):
-                    # Values under the range were ruled out by an earlier pass.
-                    row = s[r][cand != qs[r]]
-                    bins = (row - lows[j + r]) // width
-                    bins = bins[bins >= 0]
-                    if len(bins) > k:
-                        bins = bins[bins >= np.partition(bins, len(bins) - k)[len(bins) - k]]
-                    mine = found[j + r]
-                    for v, n in zip(*np.unique(bins, return_counts=True), strict=True):
-                        mine[int(v)] = mine.get(int(v), 0) + int(n)
-                    if len(mine) > 4 * k:
-                        found[j + r] = _head(mine, k)
-            rows = [(int(q), v, n) for q, m in zip(ids, found, strict=True) for v, n in _head(m, k).items()]
-            yield pd.DataFrame(rows, columns=["query_id", "bin", "n"]).astype("int64")
-
-        counts = candidates.mapInPandas(histogram, "query_id long, bin long, n long")
+        counts = _over_tiles(candidates, asked, histogram, ["query_id", "bin", "n"])
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         reached = counts.withColumn("above", F.sum("n").over(w)).groupBy("query_id")
-        kth = reached.agg(
-            F.coalesce(F.max(F.when(F.col("above") >= k, F.col("bin"))), F.min("bin")).alias("bin")
-        ).collect()  # one row for each query of the block
-        low = {q: low[q] for q in low} | {r["query_id"]: low[r["query_id"]] + r["bin"] * width for r in kth}
+        kth = reached.agg(F.coalesce(F.max(F.when(F.col("above") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
+        low = F.col("low") + F.coalesce("bin", F.lit(0)) * width
+        # The last table stays until the driver ends: a lost task may have to read it again.
+        asked = saved(asked.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", low.alias("low")), "asked")
         if width == 1:
             break
         width = max(1, -(-width // BINS))
 
-    final = spark.sparkContext.broadcast(np.array([low[int(q)] for q in ids], dtype=object))
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = held.value
-        for j, qs, cand, s in _tiles(batches, ids, vectors):
-            out = []
-            for r in range(len(qs)):
-                own = np.flatnonzero((s[r] >= final.value[j + r]) & (cand != qs[r]))
-                order = sorted(((-int(s[r][i]), int(cand[i])) for i in own), key=lambda x: x)[:k]
-                out += [(int(qs[r]), i, -n) for n, i in order]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def keep(q: int, low: int, s: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        own = np.flatnonzero((s >= low) & (ids != q))
+        return [(q, i, -n) for n, i in sorted((-int(s[x]), int(ids[x])) for x in own)[:k]]
 
-    kept = candidates.mapInPandas(keep, "query_id long, vec_id long, score long")
+    kept = _over_tiles(candidates, asked, keep, ["query_id", "vec_id", "score"])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _head(bins: dict[int, int], k: int) -> dict[int, int]:
-    """The highest bins that hold k values together."""
-    out, n = {}, 0
-    for v in sorted(bins, reverse=True):
-        if n >= k:
-            break
-        out[v] = bins[v]
-        n += bins[v]
-    return out
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def exact_top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -130,22 +132,6 @@ def exact_top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int =
     repeated candidate row counts again, a repeated query row is one query. Products outside the long range
     are clipped. Other columns are ignored; an empty table gives no rows.
     """
-    spark = embeddings.sparkSession
     table = saved(quantised(embeddings, scale), "quantised")
-    parts = [p for candidates in by_length(table) for p in _blocks(candidates, every, k)]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.unionByName, [p.select(empty.columns) for p in parts], empty)
-
-
-def _blocks(candidates: DataFrame, every: int, k: int) -> Iterator[DataFrame]:
-    """candidates: vectors of one length -> the results of each block of queries."""
-    queries = candidates.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).sortWithinPartitions("vec_id")
-    ids, vectors = [], []
-    for row in queries.toLocalIterator():
-        ids.append(row["vec_id"])
-        vectors.append(row["v"])
-        if len(ids) == BLOCK:
-            yield saved(_block(candidates, np.array(ids, np.int64), np.array(vectors), k), "topk")
-            ids, vectors = [], []
-    if ids:
-        yield saved(_block(candidates, np.array(ids, np.int64), np.array(vectors), k), "topk")
+    found = [_search(v, every, k) for v in by_length(table)]
+    return reduce(DataFrame.unionByName, found, embeddings.sparkSession.createDataFrame([], OUT))

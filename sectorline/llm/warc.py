@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, opened, saved
 
 LEAST = 1000
 BLOCK_LINES = 500
@@ -217,15 +217,6 @@ def build_index(spark: SparkSession, archives: str, path: str) -> None:
     spark.read.schema(BLOCKS).parquet(f"{path}/blocks").drop("data").write.parquet(f"{path}/directory")
 
 
-def opened(path: str):
-    """A file of any store, for reading ranges."""
-    from pyarrow import fs
-
-    uri = "file://" + path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
-    store, inner = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(inner)
-
-
 def find(keys: list[str], directory: list[tuple[str, bytes]]) -> Iterator[tuple[str, str, int, int]]:
     """The captures (key, path, at, n) of `keys`, ascending, in a part: bisects its directory (first key and block, in
     order), then the block, and goes on to the next one where a key runs over its end."""
