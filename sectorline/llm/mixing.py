@@ -30,11 +30,11 @@ SAMPLE = 2000
 #: Rows that each domain is fitted on, as far as it has them.
 LEAST = 20
 #: Rows that the first steps are found on, at most.
-WARM = 8192
+WARM = 32_768
 #: The fit ends when every domain is this near its target (as a share of all tokens), or when the duality gap shows
 #: that the objective is above the least possible by no more than this share of it, or by no more than NEAR (shares
 #: within 1e-3 of the best) while ten rounds gain less than a tenth. It raises after ROUNDS.
-ERROR, GAP, NEAR, ROUNDS = 1e-7, 0.01, 5e-7, 3000
+ERROR, GAP, NEAR, ROUNDS = 5e-7, 0.01, 5e-7, 3000
 PAIRS = 65536
 
 
