@@ -61,14 +61,3 @@ def test_query_matches_sql(spark, name):
     cols = sorted(theirs.columns)
     plain = lambda d: sorted(repr([None if pd.isna(x) else float(x) if isinstance(x, (int, float)) else x for x in r]) for r in d[cols].astype(object).values.tolist())
     assert cols == sorted(mine.columns) and plain(mine) == plain(theirs)
-
-
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
-
-    stage = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, f in corpus_pipeline.STAGES[:3]:
-        after = f(spark, stage, SF)
-        assert after.columns == stage.columns
-        stage = after
-    assert F and corpus_pipeline.run(spark, SF).count() > 0
