@@ -187,14 +187,18 @@ class Dense:
         marks = [("Sector", s, at, k) for at, s, k in hits] + ([("Position", 0, ts, n)] if config.track_position else [])
         for kind, sector, at, k in marks:
             if self.session is None:
-                self.sessions += 1
-                self.session = Session(self.sessions)
+                self._begin()
             out += self.session.register(kind, sector, at, k, config.closed)
         if self.session is not None and self.session.last is not None and self.session.last + config.idle_us < ts:
             self.session, self.previous = None, False
         return out
 
 
+    def _begin(self) -> None:
+        self.sessions += 1
+        self.session = Session(self.sessions)
+
+
 class Automatic:
     """Sessions that follow the circuit a device is on: looked up every check_us, the first gate of a way only, no best flags."""
 

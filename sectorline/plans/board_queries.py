@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fmt, geo
-from ..operators import board, circuits, crossings, ranking, stats
+from ..operators import board, circuits, crossings, ranking, sessions, stats
 from ..sources import delimited, laps_csv, replay
+from ..streaming import delivery
 from . import adapters, timer_sql
 
 HOUR = 3_600_000_000
@@ -184,6 +185,8 @@ def queries() -> dict[str, Query]:
         "replay_plan": _events(board.replay_plan),
         "event_texts": _events(_texts),
         "event_vector": _events(_vector),
+        "wire_dto_projection": _events(lambda e: delivery.wire(e)),
+        "device_sessions": _events(lambda e: sessions.device_sessions(e.withColumn("circuit_code", F.concat(F.lit("c"), (F.col("ord") % 3).cast("string"))))),
         "current_lap_time": _events(lambda e: stats.current_lap_time(e, F.lit(2_000_000_000_000_000))),
         "best_flag_at_detection": _events(stats.best_sector_flags),
         "max_speed": lambda s, d: stats.max_speed(_fixes(s, d)),
@@ -313,6 +316,10 @@ SELECT te.session_id, te.device_id, te.ord, epoch_us(te.ts) - t0 + place * 50000
   CASE WHEN ord % 2 = 0 THEN substr('device-' || device_id, 1, 8) ELSE 'Somebody' END AS shown_name, 'Ann-' || device_id AS driver_text,
   '[E1] ' || type || ' (State: Ready)' AS error_text, CASE WHEN ord % 2 = 0 THEN CAST(device_id AS VARCHAR) ELSE 'Ann' END AS driver_name FROM te""",
         "event_vector": f"""{te} SELECT ord, (CASE type WHEN 'Lap' THEN 0 WHEN 'Sector' THEN 1 ELSE 3 END * 100) || ',' || (lap * 100) || ',' || (sector * 100) || ',' || (time_ticks // 100) || ',5050,0,0,550,25' AS vector_x100 FROM te""",
+        "wire_dto_projection": f"""{te} SELECT substr(sha256(session_id || '|' || device_id || '|' || ord), 1, 32) AS id, session_id, device_id, ord, epoch_us(ts) // 1000 AS ms,
+  CASE WHEN type = 'Lap' THEN 'Lap' ELSE 'Sector' END AS type, lap, sector, time_ticks FROM te""",
+        "device_sessions": f"""{te} SELECT session_id, device_id, CAST(device_id AS VARCHAR) AS driver_id, CAST(device_id AS VARCHAR) AS driver_name, 'Unknown' AS driver_number,
+  'c' || (min(ord) % 3) AS circuit_code FROM te WHERE type IN ('Lap', 'Sector') GROUP BY 1, 2""",
         "current_lap_time": f"""{te}, l AS (SELECT session_id, device_id, epoch_us(ts) AS us FROM te WHERE type = 'Lap' QUALIFY row_number() OVER (PARTITION BY session_id, device_id ORDER BY lap DESC, ord) = 1),
 x AS (SELECT session_id, device_id, epoch_us(ts) AS us FROM te QUALIFY row_number() OVER (PARTITION BY session_id, device_id ORDER BY ord DESC) = 1)
 SELECT x.session_id, x.device_id, (2000000000000000 - coalesce(l.us, x.us)) * 10 AS current_ticks FROM x LEFT JOIN l ON l.session_id = x.session_id AND l.device_id = x.device_id""",
