@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt
-from .board import DEVICE, active
+from .board import DEVICE
 
 #: Sectors of a table that neither is told their number nor has any best sector.
 SECTORS = 3
@@ -109,5 +109,3 @@ def changed_rows(now: DataFrame, before: DataFrame) -> DataFrame:
     same = [now[c].eqNullSafe(before[c]) for c in seen]
     return now.join(before, [*same], "left_anti")
 
-
-__all__ = ["active", "active_devices", "changed_rows", "lap_sectors", "last_laps", "rank_changes", "ranking", "sector_count", "shown_sectors", "table"]
