@@ -1,11 +1,7 @@
-import gzip
-import hashlib
 import random
 
-import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from sectorline.llm import queries, simhash
 from sectorline.llm.common import components
