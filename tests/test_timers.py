@@ -77,8 +77,53 @@ def test_whole_tables_of_the_other_modes(spark):
                 session, before = None, False
     got = [tuple(r)[:-1] for r in board_queries.queries()["position_breadcrumbs"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
-    auto = board_queries.queries()["automatic_sessions"](spark, SF).toPandas()
-    assert len(auto) and auto.is_best.isna().all() and (auto.groupby(["device_id", "event_us"]).type.apply(lambda t: (t == "Sector").sum()) <= 1).all()
+
+
+def test_automatic_sessions_of_whole_tables(spark):
+    """automatic_sessions against a loop over each device's fixes and all circuits' boxes and gates."""
+    every = {"alpha": adapters.GATES, "gamma": adapters.GATES[:2], "beta": []}
+    boxes = [(c, min(a, x), max(a, x), min(b, y), max(b, y)) for _, c, _, a, b, x, y in adapters.CIRCUITS if c != "ALPHA"]
+    want, day = [], 24 * HOUR
+    for d, g in adapters.fixes(spark, SF).toPandas().sort_values("arrival_ord").groupby("device_id"):
+        prev = circuit = checked = run = None
+        number = 0
+        for r in g.itertuples():
+            ts = r.ts.value // 1000
+            if circuit is None or checked + 2_000_000 <= ts:
+                checked = ts
+                code = next((c for c, s, n, w, e in boxes if s <= r.lat <= n and w <= r.lon <= e), None)
+                if code not in (None, circuit):
+                    circuit, number = code, number + 1
+                    run = {"last": None, "lap": None, "lap_at": None, "n": 0, "since": ts, "seen": None}
+            if circuit is not None:
+                kind = None
+                if prev and (run is None or run["last"] is None or run["last"] + 12 * HOUR <= ts):
+                    for k, *gate in every[circuit]:
+                        point = timer_stream.meet(tuple(gate), (prev[1], prev[2], r.lat, r.lon), True)
+                        if point:
+                            at = prev[0] + int((ts - prev[0]) * timer_stream.share((prev[1], prev[2], r.lat, r.lon), point, "projection"))
+                            kind, sector = "Sector", len(every[circuit]) if k == 1 else k - 1
+                            break
+                    else:
+                        if run is not None and (run["seen"] is None or run["seen"] + 1_000_000 < ts):
+                            kind, sector, at = "Position", 0, ts
+                if kind:
+                    if run is None:
+                        number += 1
+                        run = {"last": None, "lap": None, "lap_at": None, "n": 0, "since": at, "seen": None}
+                    lap = 0 if run["lap"] is None else run["lap"] + 1
+                    want.append((d, number, run["n"], kind, lap, sector, at, 0 if run["last"] is None else at - run["last"]))
+                    run["n"], run["last"] = run["n"] + 1, at
+                    if sector == len(every[circuit]):
+                        want.append((d, number, run["n"], "Lap", lap, 0, at, 0 if run["lap"] is None else at - run["lap_at"]))
+                        run["n"], run["lap"], run["lap_at"] = run["n"] + 1, lap, at
+                if run is not None:
+                    run["seen"] = ts
+                    if (run["since"] if run["last"] is None else run["last"]) + day < ts:
+                        run = None
+            prev = (ts, r.lat, r.lon)
+    got = [tuple(r) for r in board_queries.queries()["automatic_sessions"](spark, SF).collect()]
+    assert all(r[-1] is None for r in got) and sorted(r[:-1] for r in got) == sorted(want)
 
 
 def test_timeouts_of_circuits(spark):
