@@ -87,25 +87,30 @@ MARKS = r"[\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
 SMALL = 1000
 
 
-def _spelled(x: F.Column) -> F.Column:
-    """x, whose words stand between two blanks, in one spelling and with single blanks."""
-    x = reduce(lambda x, s: F.replace(x, F.lit(f" {s[0]} ".replace(" ", "  ")[1:-1]), F.lit(f" {s[1]} ")), SPELLINGS, x)
-    return F.regexp_replace(x, " +", " ")
+def _unowned(c: F.Column) -> F.Column:
+    low = F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
+    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in ("copyright", "(c)", "©", "all rights reserved")])
+    return F.when(named, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
 
 
-def _unowned(c: F.Column) -> F.Column:
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER), COPYRIGHT, "")
+def _worded(x: F.Column) -> F.Column:
+    """x, in which single blanks stand between words, in one spelling."""
+    x = F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word between blanks of its own
+    x = reduce(lambda x, s: F.replace(x, F.lit(f" {s[0]} ".replace(" ", "  ")[1:-1]), F.lit(f" {s[1]} ")), SPELLINGS, x)
+    return F.replace(x, F.lit("  "), F.lit(" "))
 
 
 def canonical(c: F.Column) -> F.Column:
-    return F.trim(_spelled(F.concat(F.lit(" "), F.regexp_replace(_unowned(c), MARKS, "  "), F.lit(" "))))
+    # Marks that are no blank are rare; matching every blank would cost most of the time.
+    words = F.regexp_replace(_unowned(c), MARKS.replace("]+", "&&[^ ]]+"), " ")
+    return F.trim(_worded(F.trim(F.regexp_replace(words, "  +", " "))))
 
 
 def canonical_lines(c: F.Column) -> F.Column:
     """canonical() of each line, in one pass over the text."""
-    words = F.regexp_replace(_unowned(c), MARKS.replace("]+", "&&[^\n]]+"), "  ")
-    words = _spelled(F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" ")))
-    return F.transform(F.split(words, "\n"), lambda x: F.trim(x))
+    words = F.regexp_replace(_unowned(c), MARKS.replace("]+", "&&[^ \n]]+"), " ")
+    words = F.regexp_replace(words, "  +", " ")
+    return F.transform(F.split(_worded(F.replace(words, F.lit("\n"), F.lit(" \n "))), "\n"), lambda x: F.trim(x))
 
 
 def entries() -> list[tuple[str, str]]:
