@@ -82,33 +82,41 @@ SPELLINGS = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only names who holds the rights.
 COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]*(copyright|[0-9])|©|all rights reserved[.]?[ \t\r]*$)[^\n]*"
-MARKS = r"[\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+#: Whatever is no letter, mark on a letter, or number; the first ranges are for speed.
+MARKS = r"[^a-z0-9\p{L}\p{M}\p{N}]+"
 #: Licences that are looked up without a shuffle, at most; a larger book is joined.
 SMALL = 1000
 
 
-def _unowned(c: F.Column) -> F.Column:
+def unowned(c: F.Column) -> F.Column:
+    """The text in small letters (of ASCII), without lines that only name who holds the rights."""
     low = F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
-    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in ("copyright", "(c)", "©", "all rights reserved")])
-    return F.when(named, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
+    named = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in ("copyright", "(c)", "©", "all rights reserved")])
+    return F.transform(F.array(low), lambda x: F.when(named(x), F.regexp_replace(x, COPYRIGHT, "")).otherwise(x))[0]
 
 
-def _worded(x: F.Column) -> F.Column:
+def _worded(x: F.Column, spellings: list[tuple[str, str]] = SPELLINGS) -> F.Column:
     """x, in which single blanks stand between words, in one spelling."""
     x = F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word between blanks of its own
-    x = reduce(lambda x, s: F.replace(x, F.lit(f" {s[0]} ".replace(" ", "  ")[1:-1]), F.lit(f" {s[1]} ")), SPELLINGS, x)
+    x = reduce(lambda x, s: F.replace(x, F.lit(f" {s[0]} ".replace(" ", "  ")[1:-1]), F.lit(f" {s[1]} ")), spellings, x)
     return F.replace(x, F.lit("  "), F.lit(" "))
 
 
+def _joined(lines: F.Column) -> F.Column:
+    """canonical() of a text from that of its lines: what is spelled in two words may run over the end of one."""
+    whole = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    return F.trim(_worded(whole, [s for s in SPELLINGS if " " in s[0]]))
+
+
 def canonical(c: F.Column) -> F.Column:
     # Marks that are no blank are rare; matching every blank would cost most of the time.
-    words = F.regexp_replace(_unowned(c), MARKS.replace("]+", "&&[^ ]]+"), " ")
+    words = F.regexp_replace(unowned(c), MARKS.replace("[^", "[^ "), " ")
     return F.trim(_worded(F.trim(F.regexp_replace(words, "  +", " "))))
 
 
-def canonical_lines(c: F.Column) -> F.Column:
-    """canonical() of each line, in one pass over the text."""
-    words = F.regexp_replace(_unowned(c), MARKS.replace("]+", "&&[^ \n]]+"), " ")
+def _canonical_lines(low: F.Column) -> F.Column:
+    """canonical() of each line of an unowned() text, in one pass."""
+    words = F.regexp_replace(low, MARKS.replace("[^", "[^ \n"), " ")
     words = F.regexp_replace(words, "  +", " ")
     return F.transform(F.split(_worded(F.replace(words, F.lit("\n"), F.lit(" \n "))), "\n"), lambda x: F.trim(x))
 
@@ -140,9 +148,10 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     size, lengths = licenses.agg(F.count(F.lit(1)), F.collect_set("chars")).first()
     lengths = [int(n) for n in lengths]
     book = licenses.select("digest", F.col("license_id").alias("text_license"))
-    lines = F.filter(canonical_lines(F.col("text")), lambda x: F.char_length(x).isin(lengths) if lengths else F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _canonical_lines(unowned(F.col("text"))).alias("all"))
+    lines = F.filter("all", lambda x: F.char_length(x).isin(lengths) if lengths else F.lit(False))
     found = F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256)))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"))
+    d = docs.select("doc_id", F.sha2(_joined(F.col("all")), 256).alias("digest"), found.alias("found"))
     none = F.array().cast("array<string>")
     if size <= SMALL:
         ids = {r["digest"]: r["text_license"] for r in book.collect()}
