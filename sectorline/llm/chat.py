@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_batches, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -149,6 +149,7 @@ def examples(segs: DataFrame) -> DataFrame:
                         out, held = [], 0
         yield pa.RecordBatch.from_pylist(out, kind)
 
+    bounded_batches(segs.sparkSession)
     return _with_prefixes(saved(blocks(segs), "blocks")).mapInArrow(run, EXAMPLES)
 
 
@@ -212,5 +213,6 @@ def digests(rows: DataFrame) -> DataFrame:
 
     loss = F.substring(F.col("text"), F.col("target_start").cast("int") + 1, (F.col("target_end") - F.col("target_start")).cast("int"))
     light = rows.select("conv_id", "example", F.char_length("text").cast("long").alias("chars"), loss.alias("loss"), F.when(F.col("final"), F.col("text")).alias("whole"))
+    bounded_batches(rows.sparkSession)
     found = light.mapInArrow(turns, "conv_id long, example long, chars long, loss string, n long, sha string")
     return found.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(sums, DIGESTS)

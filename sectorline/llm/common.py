@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows that Python workers get.
+BATCH = 8 << 20
 _WRITTEN: set[str] = set()
 
 
@@ -36,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds what Python workers get at once to BATCH bytes, unless the session is set to less: texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if now.isdigit() and int(now) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder; what is there goes with `discard`, or else when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

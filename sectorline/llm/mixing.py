@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_batches, saved
 from .packing import words
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -91,6 +91,7 @@ def memberships(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     Log odds grow with the root of a text's length. Null and empty texts have no tokens and a uniform posterior.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("array<double>")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, opened, saved
+from .common import bounded_batches, discard, opened, saved
 
 LEAST = 1000
 BLOCK_LINES = 500
@@ -121,6 +121,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     Null html is an empty payload; null or empty url has no target line; blanks and control characters of a
     url are written as %20. An empty table writes an archive without records.
     """
+    bounded_batches(pages.sparkSession)
     (
         _records(pages)
         .select(F.col("value").cast("binary").alias("value"))
