@@ -149,18 +149,10 @@ def _turned(plain: Column, secret: Column) -> Column:
     start = F.struct(F.substring(plain, F.lit(1), cut).alias("l"), F.substring(plain, cut + 1, F.char_length(plain)).alias("r"))
 
     def turn(s: Column, t: Column) -> Column:
-        left = _moved(s["l"], s["r"], secret, t)
-        return F.struct(left.alias("l"), s["r"].alias("r"))
+        # Halves change places, so that after an even number of turns they stand as before.
+        return F.struct(s["r"].alias("l"), _moved(s["l"], s["r"], secret, t).alias("r"))
 
-    def other(s: Column, t: Column) -> Column:
-        return F.struct(s["l"].alias("l"), _moved(s["r"], s["l"], secret, t).alias("r"))
-
-    return F.aggregate(
-        F.array(*map(F.lit, range(TURNS))),
-        start,
-        lambda s, t: F.when(t % 2 == 0, turn(s, t)).otherwise(other(s, t)),
-        lambda s: F.concat(s["l"], s["r"]),
-    )
+    return F.aggregate(F.array(*map(F.lit, range(TURNS))), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
 def _luhn(digits: Column) -> Column:
@@ -233,11 +225,11 @@ def _value(v: Column, kind: Column, draw: Column, key: str) -> Column:
         return F.concat(p["head"], F.array_join(F.transform(pieces, lambda b: _let(_plain(b), lambda plain: shaped(b, plain))), ""), p["tail"])
 
     def shaped(body: Column, plain: Column) -> Column:
-        front = F.substring(plain, F.lit(1), F.char_length(plain) - 1)
-        # The last digit keeps its distance from the one that passes the Luhn test.
+        # The last digit of a card keeps its distance from the one that passes the Luhn test.
+        card = kind == "card"
         last = lambda m: (_luhn(plain) - _luhn(F.concat(m, F.lit("0"))) + 10) % 10
-        card = _let(_permuted(front, secret), lambda m: F.concat(m, last(m).cast("string")))
-        return F.when(kind == "card", _shaped(body, card)).otherwise(_shaped(body, _permuted(plain, secret)))
+        moved = _permuted(F.when(card, F.substring(plain, F.lit(1), F.char_length(plain) - 1)).otherwise(plain), secret)
+        return _shaped(body, _let(moved, lambda m: F.when(card, F.concat(m, last(m).cast("string"))).otherwise(m)))
 
     rest = _let(F.struct(_head(v, kind).alias("head"), tail.alias("tail")), parts)
     longer = _let(rest, lambda x: F.concat(_grown(F.substring_index(x, "@", 1), draw), F.lit("@"), F.substring_index(x, "@", -1)))
