@@ -243,8 +243,9 @@ def fit(members: DataFrame, targets: np.ndarray, present: np.ndarray, warm: int
     if not total:
         return Fit(targets, np.zeros(k))
     some = members.select("tokens", "posterior").filter("tokens > 0")
-    some = some.orderBy(F.xxhash64("tokens", "posterior")).limit(warm).collect()
-    first = _Sample(np.array([r["tokens"] for r in some], float), np.array([r["posterior"] for r in some]))
+    some = some.orderBy(F.xxhash64("tokens", "posterior")).limit(warm).toArrow().combine_chunks()
+    posteriors = some.column("posterior").combine_chunks() if some.num_rows else some.column("posterior")
+    first = _Sample(some.column("tokens").to_numpy().astype(float), _matrix(posteriors))
     _descend(first, targets, ROUNDS, GAP / 4)
     table = _Table(members, k, total, first.steps)
     reached, done = _descend(table, targets, ROUNDS, GAP)
