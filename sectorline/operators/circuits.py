@@ -64,8 +64,13 @@ def changes(fixes: DataFrame, circuits: DataFrame, every_us: int = 2_000_000) ->
     """(device_id, arrival_ord, circuit_code) of the fixes at which a device's circuit changes.
 
     A device without a circuit is looked up at each fix, others when every_us have gone by since the last look; leaving all
-    boxes changes nothing. The looks are a fold in order of arrival over a device's fixes.
+    boxes changes nothing. The looks are a fold in order of arrival over a device's fixes. With an every_us of 0 each fix is
+    looked up, whatever its time.
     """
+    if every_us <= 0:
+        inside = detect(fixes, circuits).filter("circuit_code is not null")
+        last = F.lag("circuit_code").over(Window.partitionBy("device_id").orderBy("arrival_ord"))
+        return inside.withColumn("__last", last).filter(~F.col("circuit_code").eqNullSafe(F.col("__last"))).select("device_id", "arrival_ord", "circuit_code")
     look = detect(fixes, circuits).select("device_id", "arrival_ord", F.unix_micros("ts").alias("us"), "circuit_code")
 
     def run(batches):

@@ -90,6 +90,28 @@ def test_equal_fixes_stay_apart(spark):
     assert [r["circuit_code"] for r in circuits.detect(fixes, boxes).collect()] == ["first", "first", None]
 
 
+def same_as_sql(spark, folder, name, select):
+    """Whether the query equals its SQL on `select` of the events."""
+    con = duckdb.connect()
+    con.sql(f"copy (select {select} from '{SF}/events.parquet') to '{folder}/events.parquet' (format parquet)")
+    con.sql(f"create view events as from '{folder}/events.parquet'")
+    mine = board_queries.queries()[name](spark, str(folder)).toPandas()
+    return rows(mine) == rows(con.sql(board_queries.oracle_sql()[name]).df()) and len(mine) > 0
+
+
+def test_circuits_of_fixes_close_in_time(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "circuit_change_sessions", "* replace (ts - to_milliseconds(event_id * 2_500_000) as ts)")
+
+
+def test_circuits_looked_up_at_each_fix(spark):
+    rows = [(1, 0, T[0], 1.0), (1, 1, T[1], 5.0), (1, 2, T[30], 9.0), (1, 3, T[29], 5.0), (1, 4, T[2], 1.0), (2, 5, T[2], 1.0)]
+    fixes = spark.createDataFrame(rows, "device_id long, arrival_ord long, ts timestamp, lat double").withColumn("lon", F.lit(1.0))
+    boxes = spark.createDataFrame([(0, "a", "A", 0.0, 0.0, 2.0, 2.0), (1, "b", "B", 4.0, 0.0, 6.0, 2.0)], "ord int, code string, name string, lat1 double, lon1 double, lat2 double, lon2 double")
+    found = lambda every: sorted(map(tuple, circuits.changes(fixes, boxes, every).collect()))
+    assert found(0) == [(1, 0, "a"), (1, 1, "b"), (1, 4, "a"), (2, 5, "a")]
+    assert found(2_000_000) == [(1, 0, "a"), (2, 5, "a")]  # the second comes too early, those after the third are older
+
+
 def test_windows_over_slices(spark):
     e = spark.createDataFrame([(1, 1, T[50], 400_000_000), (1, 2, T[50], 0)], "device_id long, ord long, ts timestamp, time_ticks long")
     f = spark.createDataFrame([(1, i, T[i]) for i in range(60)], "device_id long, arrival_ord long, ts timestamp")
