@@ -158,5 +158,5 @@ def replay_plan(e: DataFrame, gap_us: int = 5_000_000) -> DataFrame:
     gap_us after the one before it in order of their ids."""
     start = e.groupBy("session_id").agg(F.min(F.unix_micros("ts")).alias("start"))
     places = e.select(*DEVICE).distinct().withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("device_id")) - 1)
-    due = F.unix_micros("ts") - F.col("start") + F.col("place") * gap_us
+    due = F.unix_micros("ts") - F.col("start") + F.col("place").cast("long") * gap_us
     return e.join(start, "session_id").join(places, DEVICE).select(*DEVICE, "ord", due.alias("due_us"))

@@ -103,6 +103,10 @@ def test_circuits_of_fixes_close_in_time(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "circuit_change_sessions", "* replace (ts - to_milliseconds(event_id * 2_500_000) as ts)")
 
 
+def test_replay_of_many_devices(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "replay_plan", "* replace (event_id * 10 as user_id)")  # 1000 in a session: over 2^31 us
+
+
 def test_circuits_looked_up_at_each_fix(spark):
     rows = [(1, 0, T[0], 1.0), (1, 1, T[1], 5.0), (1, 2, T[30], 9.0), (1, 3, T[29], 5.0), (1, 4, T[2], 1.0), (2, 5, T[2], 1.0)]
     fixes = spark.createDataFrame(rows, "device_id long, arrival_ord long, ts timestamp, lat double").withColumn("lon", F.lit(1.0))
