@@ -104,19 +104,33 @@ def event_vector(kind: Column, lap: Column, sector: Column, ticks: Column, first
     return F.array(*[c.cast("double") for c in cells])
 
 
+#: Times that a slice is as wide as one of the level below, and slices of its level that a window covers, but for its ends.
+FINER, COVERED = 16, 4
+
+
 def in_window(events: DataFrame, fixes: DataFrame, width_us: int = 600_000_000) -> DataFrame:
     """Pairs of an event (device_id, ord, ts, time_ticks) and the fixes of its device in (ts - time, ts].
 
-    Both sides meet by device and by the slice of width_us that a fix falls in, so that a long-lived device is the work of
-    many tasks and an event meets the fixes of its window's slices alone.
+    Both sides meet by device and by a slice of time, so that a long-lived device is the work of many tasks and an event meets
+    the fixes of its window's slices alone. Slices are width_us wide, or FINER times as wide for each further level: an event
+    is filed at the first level where its window is COVERED slices at most, whatever its length, and the fixes at each level
+    that events use.
     """
-    slice_of = lambda us: F.floor(us / width_us)
     end = F.unix_micros("ts")
-    e = events.withColumn("__end", end).withColumn("__begin", end - F.col("time_ticks") / 10)
-    e = e.filter("time_ticks > 0").withColumn("__slice", F.explode(F.sequence(slice_of(F.col("__begin")), slice_of(F.col("__end")))))
-    f = fixes.withColumn("__us", F.unix_micros("ts")).drop("ts").withColumn("__slice", slice_of(F.col("__us")))
-    hits = e.join(f, ["device_id", "__slice"]).filter("__us > __begin and __us <= __end")
-    return hits.drop("__slice", "__begin", "__end")
+    e = events.filter("time_ticks > 0 and ts is not null").withColumn("__end", end).withColumn("__begin", end - F.col("time_ticks") / 10)
+    length, level = F.col("time_ticks") / 10, F.lit(0)
+    steps = [width_us * FINER**k for k in range(16) if width_us * FINER**k < 1 << 60]
+    for k, w in enumerate(steps[:-1]):
+        level = F.when(length > w * COVERED, k + 1).otherwise(level)
+    wide = F.element_at(F.array(*[F.lit(w).cast("long") for w in steps]), F.col("__level") + 1)
+    slice_of = lambda us: F.floor(us / wide)
+    e = e.withColumn("__level", level)
+    used = [r[0] for r in e.select("__level").distinct().collect()]
+    e = e.withColumn("__slice", F.explode(F.sequence(slice_of(F.col("__begin")), slice_of(F.col("__end")))))
+    f = fixes.withColumn("__us", F.unix_micros("ts")).drop("ts")
+    f = f.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>"))).withColumn("__slice", slice_of(F.col("__us")))
+    hits = e.join(f, ["device_id", "__level", "__slice"]).filter("__us > __begin and __us <= __end")
+    return hits.drop("__level", "__slice", "__begin", "__end")
 
 
 def channel_ranges(events: DataFrame, fixes: DataFrame, channel: str = "data") -> DataFrame:

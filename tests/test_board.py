@@ -122,6 +122,20 @@ def test_windows_over_slices(spark):
     assert sorted(r["arrival_ord"] for r in stats.in_window(e, f, 7_000_000).collect()) == list(range(11, 51))
 
 
+def test_windows_of_any_length(spark):
+    rng = random.Random(5)
+    seconds = [0.000001, 0.5, 3.0, 40.0, 3600.0, 1e6, 9e9]  # slices of 1 us: beyond an array for the long ones, were they of one width
+    e = [(d, i, T[rng.randrange(60)], int(rng.choice(seconds) * 1e7)) for d in (1, 2) for i in range(60)] + [(1, 99, None, 5)]
+    f = [(d, i, T[rng.randrange(60)] + datetime.timedelta(microseconds=rng.randrange(3))) for d in (1, 3) for i in range(50)] + [(1, 98, None)]
+    want = sorted((d, n, i) for d, n, t, k in e for o, i, u in f if d == o and t and u and 0 <= (t - u) / datetime.timedelta(microseconds=1) < k / 10)
+    events = spark.createDataFrame(e, "device_id long, ord long, ts timestamp, time_ticks long")
+    fixes = spark.createDataFrame(f, "device_id long, arrival_ord long, ts timestamp")
+    for width in (1, 600_000_000):
+        got = stats.in_window(events, fixes, width)
+        assert sorted(map(tuple, got.select("device_id", "ord", "arrival_ord").collect())) == want
+    assert stats.in_window(events.limit(0), fixes).count() == 0
+
+
 def test_text_forms(spark):
     one = spark.range(1)
     got = one.select(fmt.clock(F.lit(-612_340_000)), fmt.cell_text(F.lit(0)), fmt.coordinates_text(F.lit(1.5), F.lit(2.0)), fmt.share_id()).first()
