@@ -103,6 +103,11 @@ def test_circuits_of_fixes_close_in_time(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "circuit_change_sessions", "* replace (ts - to_milliseconds(event_id * 2_500_000) as ts)")
 
 
+@pytest.mark.parametrize("name", ["csv_export_lines", "channel_min_max"])
+def test_windows_of_years_match_sql(spark, tmp_path, name):
+    assert same_as_sql(spark, tmp_path, name, "* replace (value * 100_000 as value)")
+
+
 def test_replay_of_many_devices(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "replay_plan", "* replace (event_id * 10 as user_id)")  # 1000 in a session: over 2^31 us
 
