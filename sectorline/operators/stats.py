@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,21 +116,19 @@ def in_window(events: DataFrame, fixes: DataFrame, width_us: int = 600_000_000)
     Both sides meet by device and by a slice of time, so that a long-lived device is the work of many tasks and an event meets
     the fixes of its window's slices alone. Slices are width_us wide, or FINER times as wide for each further level: an event
     is filed at the first level where its window is COVERED slices at most, whatever its length, and the fixes at each level
-    that events use.
+    that events use. No job runs before the one that takes the pairs.
     """
     end = F.unix_micros("ts")
     e = events.filter("time_ticks > 0 and ts is not null").withColumn("__end", end).withColumn("__begin", end - F.col("time_ticks") / 10)
-    length, level = F.col("time_ticks") / 10, F.lit(0)
-    steps = [width_us * FINER**k for k in range(16) if width_us * FINER**k < 1 << 60]
-    for k, w in enumerate(steps[:-1]):
-        level = F.when(length > w * COVERED, k + 1).otherwise(level)
-    wide = F.element_at(F.array(*[F.lit(w).cast("long") for w in steps]), F.col("__level") + 1)
+    length = F.col("time_ticks") / 10
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / (width_us * COVERED)) / math.log(FINER)).cast("int"))
+    wide = F.pow(F.lit(float(FINER)), F.col("__level")) * width_us
     slice_of = lambda us: F.floor(us / wide)
     e = e.withColumn("__level", level)
-    used = [r[0] for r in e.select("__level").distinct().collect()]
+    used = F.broadcast(e.select("__level").distinct())
     e = e.withColumn("__slice", F.explode(F.sequence(slice_of(F.col("__begin")), slice_of(F.col("__end")))))
     f = fixes.withColumn("__us", F.unix_micros("ts")).drop("ts")
-    f = f.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>"))).withColumn("__slice", slice_of(F.col("__us")))
+    f = f.crossJoin(used).withColumn("__slice", slice_of(F.col("__us")))
     hits = e.join(f, ["device_id", "__level", "__slice"]).filter("__us > __begin and __us <= __end")
     return hits.drop("__level", "__slice", "__begin", "__end")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.stats import in_window
@@ -21,7 +21,7 @@ def span_text(ticks: Column) -> Column:
 def number_text(x: Column) -> Column:
     """Up to five decimals without trailing zeros, and without a zero before the point; zero and null are empty."""
     text = F.format_string("%.5f", F.coalesce(x, F.lit(0.0)))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.?0+$", ""), r"^(-?)0(?=\.|$)", "$1"), "^-$", "")
+    return F.regexp_replace(F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")), r"^(-?)0(?=\.)|^-?0$", "$1")
 
 
 def export(events: DataFrame, fixes: DataFrame, channels: list[str], title: str = "# Lap data v1.0") -> DataFrame:
@@ -29,16 +29,23 @@ def export(events: DataFrame, fixes: DataFrame, channels: list[str], title: str
 
     Of each lap its time, the times of its sectors in order of arrival, and the fixes (arrival_ord, ts, data) of its time.
     """
-    laps = events.filter("type = 'Lap'")
+    c, at = F.col, ["lap_ord", "part", "place"]
     head = F.array(F.lit(title), F.lit("Timestamp," + ",".join(channels)))
     top = events.select("device_id").distinct().select("device_id", F.lit(-1).cast("long").alias("lap_ord"), F.lit(0).alias("part"), F.posexplode(head).alias("place", "line"))
-    top = top.withColumn("place", F.col("place").cast("long"))
-    name = F.concat(F.lit("#Lap "), F.col("lap").cast("string"))
-    one = laps.select("device_id", F.col("ord").alias("lap_ord"), F.lit(1).alias("part"), F.col("ord").alias("place"), F.concat(name, F.lit(" "), span_text(F.col("time_ticks"))).alias("line"))
-    sectors = events.filter("type = 'Sector'").select("device_id", "lap", F.col("ord").alias("place"), F.concat(name, F.lit(" Sector "), F.col("sector").cast("string"), F.lit(" "), span_text(F.col("time_ticks"))).alias("line"))
-    two = laps.select("device_id", "lap", F.col("ord").alias("lap_ord")).join(sectors, ["device_id", "lap"]).select("device_id", "lap_ord", F.lit(2).alias("part"), "place", "line")
+    top = top.withColumn("place", c("place").cast("long"))
+    # Sectors find the laps of their number in a window over both, so that the events are read and numbered once.
+    is_lap = c("type") == "Lap"
+    sector = F.when(is_lap, "").otherwise(F.concat(F.lit(" Sector "), c("sector").cast("string")))
+    line = F.concat(F.lit("#Lap "), c("lap").cast("string"), sector, F.lit(" "), span_text(c("time_ticks")))
+    marks = events.filter("type in ('Lap', 'Sector')").select("device_id", "lap", "ord", is_lap.alias("is_lap"), line.alias("line"))
+    marks = marks.withColumn("laps", F.collect_list(F.when(c("is_lap"), F.struct("ord"))).over(Window.partitionBy("device_id", "lap")))
+    own = F.array(F.struct(c("ord").alias("lap_ord"), F.lit(1).alias("part")))
+    theirs = F.when(c("device_id").isNotNull() & c("lap").isNotNull(), F.transform("laps", lambda x: F.struct(x["ord"].alias("lap_ord"), F.lit(2).alias("part"))))
+    marks = marks.select("device_id", c("ord").alias("place"), "line", F.inline(F.when(c("is_lap"), own).otherwise(theirs)))
+    # The text of a fix is made once, before it meets its laps, and in as many tasks as there are partitions, however few read it.
     cells = F.array_join(F.transform("data", number_text), ",", "")
-    stamp = F.concat(F.date_format("fix_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    hits = in_window(laps.select("device_id", "ord", "ts", "time_ticks"), fixes.select("device_id", "arrival_ord", "ts", F.col("ts").alias("fix_ts"), "data"))
-    three = hits.select("device_id", F.col("ord").alias("lap_ord"), F.lit(3).alias("part"), F.col("arrival_ord").alias("place"), F.concat(stamp, F.lit(","), cells).alias("line"))
-    return top.unionByName(one).unionByName(two).unionByName(three)
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    told = fixes.repartition("device_id", "arrival_ord").select("device_id", "arrival_ord", "ts", F.concat(stamp, F.lit(","), cells).alias("line"))
+    hits = in_window(events.filter(is_lap).select("device_id", "ord", "ts", "time_ticks"), told)
+    three = hits.select("device_id", c("ord").alias("lap_ord"), F.lit(3).alias("part"), c("arrival_ord").alias("place"), "line")
+    return top.unionByName(marks.select("device_id", *at, "line")).unionByName(three)

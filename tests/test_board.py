@@ -1,13 +1,16 @@
 import datetime
 import random
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sectorline.functions import fmt
 from sectorline.operators import board, circuits, ranking, stats
 from sectorline.plans import board_queries
+from sectorline.sources import laps_csv
 
 SF = "/root/testdata/sf0.001"
 EVENT = "session_id int, device_id string, device_ord int, ord long, ts timestamp, type string, lap int, sector int, time_ticks long, deleted boolean"
@@ -108,6 +111,43 @@ def test_windows_of_years_match_sql(spark, tmp_path, name):
     assert same_as_sql(spark, tmp_path, name, "* replace (value * 100_000 as value)")
 
 
+def test_lap_lines_are_made_once(spark):
+    """Nothing runs while the query is built, the laps are numbered once, and a fix gets its text before it meets its laps."""
+    e = spark.createDataFrame([], "device_id long, ord long, ts timestamp, type string, lap long, sector int, time_ticks long")
+    e = e.withColumn("lap", F.count("ord").over(Window.partitionBy("device_id").orderBy("ord")))
+    fixes = spark.createDataFrame([], "device_id long, arrival_ord long, ts timestamp, data array<double>")
+    spark.sparkContext.setJobGroup("lap lines", "")
+    try:
+        lines = laps_csv.export(e, fixes, ["A"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lap lines")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda word: [re.search(r"\w", x).start() for x in plan if re.search(word, x)]
+    assert len(depth(r"Window \[count")) == 1
+    assert min(depth("format_string")) > max(depth(r"Join Inner, .*__slice"))
+
+
+def test_lap_lines_of_odd_events(spark):
+    found = [(1, 5, T[30], "Lap", 1, 0, 100_000_000), (1, 1, T[9], "Sector", 1, 1, 12_340_000), (1, 9, T[40], "Lap", 1, 0, 20_000_000), (1, 2, T[9], "Position", 1, 1, 5), (1, 3, T[9], "Sector", 2, 1, 0)]
+    found += [(None, 11, T[30], "Lap", 1, 0, 100_000_000), (None, 12, T[30], "Sector", 1, 2, 0), (2, 13, T[30], "Lap", None, 0, 0), (2, 14, T[30], "Sector", None, 1, 0), (1, None, T[30], "Lap", 2, 0, 0), (3, 15, T[1], "Position", 1, 0, 0)]
+    e = spark.createDataFrame(found, "device_id long, ord long, ts timestamp, type string, lap long, sector int, time_ticks long")
+    fixes = spark.createDataFrame([(1, 20, T[20], [0.5, None]), (1, 21, T[25], [-0.25, 12.0]), (1, 22, T[39], None), (1, 23, T[40], [100.0]), (2, 24, T[30], [1.0]), (None, 25, T[30], [1.0])], "device_id long, arrival_ord long, ts timestamp, data array<double>")
+    second = lambda k: T[k].strftime("%Y-%m-%dT%H:%M:%S+00:00,")
+    want = [(d, -1, 0, k, x) for d in (1, 2, 3, None) for k, x in enumerate(("title", "Timestamp,A,B"))]
+    want += [(1, 5, 1, 5, "#Lap 1 00:00:10"), (1, 9, 1, 9, "#Lap 1 00:00:02"), (1, None, 1, None, "#Lap 2 00:00:00"), (None, 11, 1, 11, "#Lap 1 00:00:10"), (2, 13, 1, 13, None)]
+    want += [(1, 5, 2, 1, "#Lap 1 Sector 1 00:00:01.2340000"), (1, 9, 2, 1, "#Lap 1 Sector 1 00:00:01.2340000"), (1, None, 2, 3, "#Lap 2 Sector 1 00:00:00")]
+    want += [(1, 5, 3, 21, second(25) + "-.25,12"), (1, 9, 3, 22, None), (1, 9, 3, 23, second(40) + "100")]
+    got = laps_csv.export(e, fixes, ["A", "B"], "title").select("device_id", "lap_ord", "part", "place", "line").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_text_of_odd_numbers(spark):
+    values = [float("nan"), float("inf"), -float("inf"), -0.0, -0.000001, 0.000005, 10.0, 100.5, -0.5, 1e20, -10.0, 0.1, 1000000.0]
+    got = spark.range(1).select(*[laps_csv.number_text(F.lit(x)).alias(f"c{k}") for k, x in enumerate(values)]).first()
+    assert list(got) == ["NaN", "Infinity", "-Infinity", "", "", ".00001", "10", "100.5", "-.5", "1" + "0" * 20, "-10", ".1", "1000000"]
+
+
 def test_replay_of_many_devices(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "replay_plan", "* replace (event_id * 10 as user_id)")  # 1000 in a session: over 2^31 us
 
